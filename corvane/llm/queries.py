@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import crosssplit, lookalikes, nearcopies, splits
+from corvane.llm import crosssplit, defects, langid, leaks, lookalikes, nearcopies, packing, sharedspans, splits
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,29 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(table(spark, d, name))
 
 
+def _model(spark: SparkSession, d: str):
+    return langid.train(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda spark, d: defects.found(spark, table(spark, d, "records"), table(spark, d, "failed_output"), _model(spark, d)),
         "p2_found": _on("records", lambda r: lookalikes.changed_fields(r).select("rid", "field")),
         "p2_queries": _on("records", lookalikes.consistent_queries),
         "p3_found": _on("records", crosssplit.pairs),
         "p3_report": _on("records", crosssplit.report),
+        "p4_found": lambda spark, d: langid.found(spark, *(table(spark, d, t) for t in ("records", "documents", "eval_items"))),
+        "p4_segments": lambda spark, d: langid.languages(spark, table(spark, d, "records"), _model(spark, d)).select("rid", "field", "pos", "lang", "confidence"),
         "p5_found": _on("records", nearcopies.pairs),
         "p5_groups": _on("records", nearcopies.near_groups),
         "p7_found": _on("records", splits.groups),
         "p7_splits": _on("records", splits.balanced_splits),
+        "p8_pack": _on("documents", packing.pack),
+        "p8_containers": _on("documents", packing.containers),
+        "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
+        "p9_spans": lambda spark, d: leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items")),
+        "p10_found": _on("documents", sharedspans.shared_runs),
+        "p10_share": _on("documents", sharedspans.shared_share),
     }
 
 
