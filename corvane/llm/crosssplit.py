@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.splits import clean_name
-from corvane.llm.textform import word_line_udf
+from corvane.llm.textform import may_reach, word_line_udf
 from corvane.session import cut
 
 SIMILARITY, WINDOW, SKETCH = 0.75, 8, 1 << 18
@@ -160,18 +160,22 @@ def _cover(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 def _sided(records: DataFrame) -> DataFrame:
     side = F.when(F.col("split") == "train", "t").when(F.col("split").isin("val", "test"), "e")
-    return cut(records.where("rid is not null").select("rid", "id", "source", "split", side.alias("side"), word_line_udf("query").alias("line"), call_names(F.col("function_calls")).alias("calls")))
+    r = records.where("rid is not null").select("rid", "id", "source", "split", side.alias("side"), word_line_udf("query").alias("w"), call_names(F.col("function_calls")).alias("calls"))
+    return cut(r.select("rid", "id", "source", "split", "side", "calls", F.col("w.words").alias("line"), "w.n", "w.b0", "w.b1"))
 
 
 def overlaps(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, side, cid) and (cid_t, cid_e, similarity, cover_t, cover_e, n_seeds) of the classes that overlap."""
     lines = base.where("line <> ''")
-    c = cut(lines.where("side is not null").groupBy("side", "line", "calls").agg(F.min("rid").alias("cid")))
+    c = cut(lines.where("side is not null").groupBy("side", "line", "calls").agg(F.min("rid").alias("cid"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1")))
     members = lines.join(c, ["side", "line", "calls"]).select("rid", "side", "cid")
-    s = seeds(c, count_sketch(lines)).select("side", "cid", F.xxhash64("seed", "calls").alias("key"))
+    s = seeds(c.select("cid", "side", "calls", "line"), count_sketch(lines)).select("side", "cid", F.xxhash64("seed", "calls").alias("key"))
     s = cut(s)
     t, e = s.where("side = 't'").select("key", F.col("cid").alias("cid_t")), s.where("side = 'e'").select("key", F.col("cid").alias("cid_e"))
     p = t.join(e, "key").select("cid_t", "cid_e").distinct()
+    bits = lambda x: c.where(f"side = '{x}'").select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n{x}"), F.col("b0").alias(f"u{x}"), F.col("b1").alias(f"v{x}"))
+    col = lambda x: (F.col(f"{x}t"), F.col(f"{x}e"))
+    p = p.join(bits("t"), "cid_t").join(bits("e"), "cid_e").where(may_reach(SIMILARITY, col("n"), col("u"), col("v"))).select("cid_t", "cid_e")
     ct = c.where("side = 't'").select(F.col("cid").alias("cid_t"), F.col("line").alias("lt"), F.col("calls").alias("kt"))
     ce = c.where("side = 'e'").select(F.col("cid").alias("cid_e"), F.col("line").alias("le"), F.col("calls").alias("ke"))
     wt, we = F.array_distinct(F.split("lt", " ")), F.array_distinct(F.split("le", " "))

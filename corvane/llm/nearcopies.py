@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corvane.llm.splits import tool_names
-from corvane.llm.textform import word_set_udf
+from corvane.llm.textform import may_reach, word_set_udf
 from corvane.operators.graph import components
 from corvane.session import cut
 
@@ -94,10 +94,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rid, cid) and (cid, words, names): records with the same distinct words and the same tools share a class."""
-    r = records.select("rid", word_set_udf("query").alias("words"), tool_names(F.col("tools")).alias("names")).where("rid is not null and words <> '' and size(names) > 0")
-    r = cut(r)
-    c = r.groupBy("words", "names").agg(F.min("rid").alias("cid"))
+    """(rid, cid) and (cid, words, names, n, b0, b1): records with the same distinct words and tools share a class."""
+    r = records.where("rid is not null").select("rid", word_set_udf("query").alias("w"), tool_names(F.col("tools")).alias("names"))
+    r = cut(r.select("rid", "w.*", "names").where("n > 0 and size(names) > 0"))
+    c = r.groupBy("words", "names").agg(F.min("rid").alias("cid"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     members = r.join(c, ["words", "names"]).select("rid", "cid")
     return members, c
 
@@ -116,13 +116,20 @@ def class_pairs(c: DataFrame) -> DataFrame:
     k = k.withColumn("before", F.lag("cid").over(w)).withColumn("behind", F.lead("cid").over(w)).where("before is not null or behind is not null").select("key", "cid")
     k = cut(k)
     p = k.alias("a").join(k.alias("b"), "key").where("a.cid < b.cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
+    bits = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n{x}"), F.col("b0").alias(f"u{x}"), F.col("b1").alias(f"v{x}"))
+    texts = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("words").alias(f"w{x}"), F.col("names").alias(f"t{x}"))
+    col = lambda x: (F.col(f"{x}a"), F.col(f"{x}b"))
+    # the bitmaps leave out nearly all that is not similar before a text is moved, and nothing that is
+    p = p.join(bits("a"), "cid_a").join(bits("b"), "cid_b").where(may_reach(SIMILARITY, col("n"), col("u"), col("v"))).select("cid_a", "cid_b")
     p = (
-        p.join(c.select(F.col("cid").alias("cid_a"), F.split("words", " ").alias("wa"), F.col("names").alias("na")), "cid_a")
-        .join(c.select(F.col("cid").alias("cid_b"), F.split("words", " ").alias("wb"), F.col("names").alias("nb")), "cid_b")
+        p.join(texts("a"), "cid_a")
+        .join(texts("b"), "cid_b")
+        .withColumn("wa", F.split("wa", " "))
+        .withColumn("wb", F.split("wb", " "))
         .withColumn("wi", F.size(F.array_intersect("wa", "wb")))
-        .withColumn("ni", F.size(F.array_intersect("na", "nb")))
+        .withColumn("ti", F.size(F.array_intersect("ta", "tb")))
         .withColumn("similarity", F.col("wi") / (F.size("wa") + F.size("wb") - F.col("wi")))
-        .withColumn("overlap", F.col("ni") / (F.size("na") + F.size("nb") - F.col("ni")))
+        .withColumn("overlap", F.col("ti") / (F.size("ta") + F.size("tb") - F.col("ti")))
     )
     return p.where((F.col("similarity") >= SIMILARITY) & (F.col("overlap") >= OVERLAP)).select("cid_a", "cid_b", "similarity", "overlap")
 

@@ -12,6 +12,8 @@ import re
 import unicodedata
 
 import pandas as pd
+import xxhash
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,13 +138,39 @@ def words_udf(s: pd.Series) -> pd.Series:
     return s.map(words)
 
 
-@F.pandas_udf(T.StringType())
-def word_line_udf(s: pd.Series) -> pd.Series:
-    """The words joined by single spaces."""
-    return s.map(lambda x: " ".join(words(x)))
+_FORM = T.StructType([T.StructField("words", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("b0", T.LongType()), T.StructField("b1", T.LongType())])
 
 
-@F.pandas_udf(T.StringType())
-def word_set_udf(s: pd.Series) -> pd.Series:
-    """The distinct words, sorted and joined by single spaces."""
-    return s.map(lambda x: " ".join(sorted(set(words(x)))))
+def _word_rows(texts: pd.Series, ordered: bool) -> pd.DataFrame:
+    bit: dict[str, int] = {}
+    rows = []
+    for t in texts:
+        ws = words(t)
+        own = set(ws)
+        m = 0
+        for w in own:
+            k = bit.get(w)
+            if k is None:
+                k = bit[w] = 1 << xxhash.xxh32_intdigest(w) % 128
+            m ^= k
+        rows.append((" ".join(ws if ordered else sorted(own)), len(own), (m & (1 << 64) - 1) - (m >> 63 & 1) * (1 << 64), (m >> 64) - (m >> 127) * (1 << 64)))
+    return pd.DataFrame(rows, columns=["words", "n", "b0", "b1"])
+
+
+@F.pandas_udf(_FORM)
+def word_line_udf(s: pd.Series) -> pd.DataFrame:
+    """The words joined by single spaces, the number n of distinct ones, and their parity bitmap of 128 bits."""
+    return _word_rows(s, True)
+
+
+@F.pandas_udf(_FORM)
+def word_set_udf(s: pd.Series) -> pd.DataFrame:
+    """The distinct words, sorted and joined by single spaces, their number n, and their parity bitmap of 128 bits."""
+    return _word_rows(s, False)
+
+
+def may_reach(similarity: float, n: tuple[Column, Column], b0: tuple[Column, Column], b1: tuple[Column, Column]) -> Column:
+    """False only for pairs below the similarity: two sets whose parity bitmaps differ in x bits differ in at least x
+    words, so they have at most (n + n' - x) / 2 words in common."""
+    x = F.bit_count(b0[0].bitwiseXOR(b0[1])) + F.bit_count(b1[0].bitwiseXOR(b1[1]))
+    return (n[0] + n[1] - x) * (1 + similarity) >= 2 * similarity * (n[0] + n[1]) - 1e-6
