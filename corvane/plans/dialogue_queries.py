@@ -55,7 +55,7 @@ def _errors(f: DataFrame) -> DataFrame:
 
 
 def _streaks(f: DataFrame) -> DataFrame:
-    return scoring.failure_streaks(f.where("dataset is not null"), "dataset", "fail_id", F.lower("error").rlike("timeout|timed out|chờ máy chủ"), 2)
+    return scoring.failure_streaks(f.where("dataset is not null"), "dataset", "fail_id", F.lower("error").rlike("error|failed"), 2)
 
 
 def _checkpoints(c: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE contains(d.text, '<functioncall>'))
 SELECT d.doc_id AS doc_id, d.origin AS origin, CAST(row_number() OVER (PARTITION BY d.origin ORDER BY d.doc_id) - 1 AS INT) AS filtered_index FROM documents d JOIN g ON d.doc_id = g.doc_id""",
         "document_length_stats": "SELECT kind, count(text) AS n, CAST(min(length(text)) AS INT) AS least, CAST(max(length(text)) AS INT) AS most, round(avg(length(text)), 4) AS mean, median(length(text)) AS median FROM documents GROUP BY kind",
         "failed_error_prefixes": "SELECT trim(split_part(coalesce(error, 'none'), ':', 1)) AS prefix, count(*) AS n FROM failed_output GROUP BY 1",
-        "failure_streaks": """WITH r AS (SELECT dataset, fail_id, coalesce(regexp_matches(lower(error), 'timeout|timed out|chờ máy chủ'), false) AS bad FROM failed_output WHERE dataset IS NOT NULL),
+        "failure_streaks": """WITH r AS (SELECT dataset, fail_id, coalesce(regexp_matches(lower(error), 'error|failed'), false) AS bad FROM failed_output WHERE dataset IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY fail_id) - row_number() OVER (PARTITION BY dataset, bad ORDER BY fail_id) AS island FROM r)
 SELECT dataset, min(fail_id) AS first, max(fail_id) AS last, count(*) AS n FROM k WHERE bad GROUP BY dataset, island HAVING count(*) >= 2""",
         "checkpoint_audit": """SELECT ckpt_id, dataset, last_processed_index + 1 - total_success - total_failed AS unaccounted, last_update IS NULL AS no_time, CAST(epoch(CAST(last_update AS TIMESTAMPTZ)) - epoch(CAST(started_at AS TIMESTAMPTZ)) AS BIGINT) AS seconds,
