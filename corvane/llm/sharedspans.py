@@ -3,9 +3,11 @@
 Texts are cut where a gear rolling hash of the last GEAR code points is the least within a window of WINDOW positions
 (the right one of equals), so cuts depend on nearby text only, resist insertions, and lie at most WINDOW apart. Two texts
 that share a stretch of at least SPAN >= GEAR - 1 + 2 * WINDOW code points therefore share a whole chunk of it. Chunks
-are deduplicated by digest; only stretches whose chunks all occur in a second text are looked at closely: each of their
-windows of SPAN code points gets a 64-bit tree hash, windows found in two texts are shared, and their union is the
-result. Texts that are equal as a whole are one class before any of that.
+are deduplicated by digest; only windows of SPAN code points whose chunks all occur in a second text are looked at closely.
+The stretch from one cut to SPAN after the next is compared as a whole by a 64-bit tree hash; where it is shared, so are
+all windows that begin in it. The windows that this leaves, those near the ends of a shared run, are hashed one by one,
+together with the settled windows that have the same first chunk as one of them. The union of what is found in two
+texts is the result. Texts that are equal as a whole are one class before any of that.
 
 Cases: null texts and texts shorter than SPAN share nothing; a stretch that recurs only within its own text is not
 shared; repeated rows with one doc_id count as one document; very long texts are handled whole; an empty table gives no
@@ -126,34 +128,96 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(rows)][owner]), pa.array(nth.astype(np.int32)), pa.array(digest)], names=["doc_id", "nth", "digest"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of SPAN code points whose surely common chunks all occur in a second text."""
+def _texts(batches: Iterator[pa.RecordBatch], *sets: str) -> Iterator[tuple]:
+    """For each text: its id, its code points, its cuts, the first fixed chunk of each window and whether the window is
+    a candidate (all chunks that it fixes occur in a second text), its digests, and the given sets of numbers."""
     for b in batches:
-        ids, flags = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("nths").to_pylist()
+        ids, held = b.column("doc_id").to_numpy(zero_copy_only=False), [b.column(c).to_pylist() for c in sets]
         for rows, texts in _batches(b):
-            owner, start, end, _, least, begin = chunks(texts)
+            owner, start, end, digest, least, begin = chunks(texts)
             at = np.searchsorted(owner, np.arange(len(texts) + 1))
-            lone = np.ones(len(owner), np.int64)
-            for k, i in enumerate(rows):
-                lone[at[k] + np.array(flags[i])] = 0
-            before = np.r_[0, np.cumsum(lone)]
-            out_id, out_pos, out_h = [], [], []
             code, _ = _codes(texts)
             for k, i in enumerate(rows):
                 if at[k + 1] == at[k]:
                     continue
+                own = [np.array(h[i] if h[i] is not None else [], np.int64) for h in held]
+                s = start[at[k] : at[k + 1]]
+                lone = np.ones(len(s), np.int64)
+                lone[own[0]] = 0
+                before = np.r_[0, np.cumsum(lone)]
                 p = np.arange(begin[k], begin[k + 1] - SPAN + 1)
-                lo, hi = least[p + GEAR - 1], least[p + SPAN - WINDOW]  # the first and last cut that the window fixes
-                a, z = np.searchsorted(start[at[k] : at[k + 1]], lo) + at[k], np.searchsorted(start[at[k] : at[k + 1]], hi) + at[k]
-                p = p[before[z] == before[a]]
-                if len(p):
-                    h = window_hashes(code[begin[k] : begin[k + 1]])
-                    p -= begin[k]
-                    out_id.append(np.full(len(p), ids[i]))
-                    out_pos.append(p.astype(np.int32))
-                    out_h.append(h[p])
-            if out_id:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_id, out_pos, out_h)], names=["doc_id", "pos", "h"])
+                # the first and the last cut that the window fixes
+                a, z = np.searchsorted(s, least[p + GEAR - 1]), np.searchsorted(s, least[p + SPAN - WINDOW])
+                cuts = np.r_[s, end[at[k + 1] - 1]] - begin[k]
+                yield int(ids[i]), code[begin[k] : begin[k + 1]], cuts, a, before[z] == before[a], digest[at[k] : at[k + 1]], own[1:]
+
+
+def _rows(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of about 100,000 rows from column arrays."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x[0])
+        if n > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches from one cut to SPAN after the next one, and a row with nth -1 for each text with a candidate."""
+
+    def parts():
+        for doc, code, cuts, _, ok, _, _ in _texts(batches, "nths"):
+            if not ok.any():
+                continue
+            n = len(ok)
+            lo, hi = cuts[:-1], cuts[1:]
+            j = np.flatnonzero((hi < n) & ok[np.minimum(lo, n - 1)] & ok[np.minimum(hi, n - 1)])
+            h = window_hashes(code).view(np.uint64) if len(j) else np.zeros(0, np.uint64)
+            with np.errstate(over="ignore"):
+                s = _mix(h[lo[j]] * np.uint64(_B) + _mix(h[hi[j]] + (hi - lo)[j].astype(np.uint64))) if len(j) else h
+            yield np.full(len(j) + 1, doc), np.r_[-1, j].astype(np.int32), np.r_[np.int64(0), s.view(np.int64)], np.r_[0, lo[j]].astype(np.int32), np.r_[0, hi[j] + SPAN].astype(np.int32)
+
+    return _rows(parts(), ["doc_id", "nth", "s", "start_at", "end_at"])
+
+
+def _loose(cuts: np.ndarray, ok: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate windows outside shared stretches, and those that begin inside one."""
+    p = np.flatnonzero(ok)
+    known = np.zeros(len(cuts) + 1, bool)
+    known[segs + 1] = True
+    inside = known[np.searchsorted(cuts, p, side="right")]
+    return p[~inside], p[inside]
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of the first fixed chunks of the windows that are not settled by a shared stretch."""
+
+    def parts():
+        for _, _, cuts, first, ok, digest, (segs,) in _texts(batches, "nths", "segs"):
+            loose, _ = _loose(cuts, ok, segs)
+            if len(loose):
+                yield (np.unique(digest[np.unique(first[loose])]),)
+
+    return _rows(parts(), ["digest"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that are not settled, and of the settled ones those that may be their counterparts."""
+
+    def parts():
+        for doc, code, cuts, first, ok, _, (segs, keys) in _texts(batches, "nths", "segs", "keys"):
+            loose, settled = _loose(cuts, ok, segs)
+            wanted = np.zeros(len(cuts), bool)
+            wanted[keys] = True
+            settled = settled[wanted[first[settled]]]
+            p = np.r_[loose, settled]
+            if len(p):
+                yield np.full(len(p), doc), p.astype(np.int32), window_hashes(code)[p], np.r_[np.ones(len(loose), bool), np.zeros(len(settled), bool)]
+
+    return _rows(parts(), ["doc_id", "pos", "h", "loose"])
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -180,13 +244,24 @@ def shared_runs(documents: DataFrame) -> DataFrame:
     rows = cut(d.mapInArrow(_chunk_rows, "doc_id long, nth int, digest long"))
     hits = rows.join(_few(_in_two(rows, "digest")), "digest", "left_semi")
     hits = cut(hits.groupBy("doc_id").agg(F.collect_set("nth").alias("nths")))  # at most the chunks of one text
-    w = cut(d.join(_few(hits), "doc_id").select("doc_id", "text", "nths").mapInArrow(_window_rows, "doc_id long, pos int, h long"))
-    w = w.join(_few(_in_two(w, "h")), "h", "left_semi").select("doc_id", "pos")
-    by = W.partitionBy("doc_id").orderBy("pos")
-    w = w.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(by) > SPAN, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
-    runs = w.groupBy("doc_id", "run").agg(F.min("pos").alias("start_at"), (F.max("pos") + SPAN).alias("end_at")).drop("run")
+    d = d.select("doc_id", "text")
+    segs = cut(d.join(_few(hits), "doc_id").mapInArrow(_segment_rows, "doc_id long, nth int, s long, start_at int, end_at int"))
+    twice = cut(segs.where("nth >= 0").join(_few(_in_two(segs.where("nth >= 0"), "s")), "s", "left_semi").select("doc_id", "nth", "start_at", "end_at"))
+    left = segs.where("nth < 0").select("doc_id").distinct().join(hits, "doc_id").join(twice.groupBy("doc_id").agg(F.collect_set("nth").alias("segs")), "doc_id", "left")
+    left = cut(left)
+    keys = cut(d.join(_few(left), "doc_id").mapInArrow(_key_rows, "digest long").distinct())
+    held = rows.join(_few(keys), "digest", "left_semi").join(_few(left.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("nth").alias("keys"))
+    left = cut(left.join(held, "doc_id", "left"))
+    w = cut(d.join(_few(left), "doc_id").mapInArrow(_window_rows, "doc_id long, pos int, h long, loose boolean"))
+    two = cut(w.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("loose").alias("any")).where("a < b and any").select("h"))
+    w = w.where("loose").join(_few(two), "h", "left_semi").select("doc_id", F.col("pos").alias("start_at"), (F.col("pos") + SPAN).alias("end_at"))
+    w = w.union(twice.select("doc_id", "start_at", "end_at"))
+    by = W.partitionBy("doc_id").orderBy("start_at", "end_at")
+    so_far = F.max("end_at").over(by.rowsBetween(W.unboundedPreceding, -1))
+    w = w.withColumn("new", F.coalesce(F.col("start_at") > so_far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
+    runs = w.groupBy("doc_id", "run").agg(F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at")).drop("run")
     whole = copies.select("doc_id", "start_at", "end_at")
-    return runs.join(F.broadcast(whole.select("doc_id")) if same is not None and whole.count() <= BROADCAST_ROWS else whole.select("doc_id"), "doc_id", "left_anti").union(whole)
+    return runs.join(_few(whole.select("doc_id")), "doc_id", "left_anti").union(whole)
 
 
 def shared_share(documents: DataFrame) -> DataFrame:
