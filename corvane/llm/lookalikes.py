@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import cut
 from corvane.llm.textform import SUSPECT, _NONLATIN, consistent, consistent_udf, decoded, strings
 
 
 def canonical_members(values: DataFrame) -> DataFrame:
     """(value, canonical) for each distinct non-null value of the column ``value``."""
-    m = values.select("value").where("value is not null").distinct().withColumn("mapped", consistent_udf("value"))
+    m = cut(values.select("value").where("value is not null").distinct().withColumn("mapped", consistent_udf("value")))
     classes = m.withColumn("class", F.collate("mapped", "UNICODE"))
     # one row for each mapped form before the collation compares anything: a hot class is aggregated map-side
     canon = classes.groupBy("class").agg(F.min(F.struct(F.length("mapped").alias("n"), F.col("mapped").alias("form"))).alias("best")).select("class", F.col("best.form").alias("canonical"))
@@ -51,7 +52,7 @@ def field_values(records: DataFrame) -> DataFrame:
 
 def changed_fields(records: DataFrame) -> DataFrame:
     """(rid, field, n_values): the fields of each record that differ from their consistent form, and in how many values."""
-    v = field_values(records)
+    v = cut(field_values(records))  # read by the classes and by the join back
     c = canonical_members(v)
     return v.join(c, "value").where("value <> canonical").groupBy("rid", "field").agg(F.count("*").alias("n_values"))
 
