@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from corvane.session import cut
 
 SPAN, GEAR, WINDOW = 400, 32, 160
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 _POINTS = 1 << 20  # code points that are hashed at a time
 _B = 0x9E3779B97F4A7C15 | 1
 
