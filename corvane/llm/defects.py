@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm.langid import LANGS, scores, text_segments, without_accents
 from corvane.llm.textform import consistent, strict_json, strings, words
 
-SENTENCE_WORDS, LANGUAGE_MARGIN = 4, 6.0
+SENTENCE_WORDS, LANGUAGE_MARGIN, PIECE = 4, 6.0, 50_000
 # Phrases by which an answer says that it does not do what was asked, lower case, without accents.
 REFUSALS = {
     "en": r"\bi (?:can't|cannot|can not|could not|am not able|am unable|am not allowed|won't|will not|must decline|have to decline|must refuse|refuse to|do not have|don't have)\b"
@@ -114,9 +114,20 @@ def read_arguments(text: str) -> tuple[object, bool]:
         return None, False
 
 
-def adds_nothing(text: bytes, frame: zstandard.ZstdCompressor) -> bool:
-    """Whether text costs next to nothing beside the dictionary: true of every copy of it, whatever its length."""
-    return len(frame.compress(text)) <= 40 + len(text) // 64
+class Prompt:
+    """The words of a query as zstandard dictionaries, one for each PIECE bytes of it."""
+
+    def __init__(self, line: bytes):
+        self.size = len(line)
+        self.frames = []
+        for i in range(0, len(line), PIECE):
+            d = zstandard.ZstdCompressionDict(line[i : i + PIECE], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.frames.append(zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False))
+
+    def adds_nothing(self, text: bytes) -> bool:
+        """Whether text costs next to nothing beside the query: true of every copy, whatever its length."""
+        pieces = zip(self.frames, range(0, self.size, PIECE))
+        return len(text) <= self.size and all(len(f.compress(part := text[i : i + PIECE])) <= 40 + len(part) // 16 for f, i in pieces)
 
 
 def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str], list[str]]:
@@ -144,9 +155,8 @@ def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str
             if own and 2 * sum(map(len, ws)) >= len(own):
                 text = " ".join(ws).encode()
                 if frame is None:
-                    d = zstandard.ZstdCompressionDict(line, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    frame = zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False)
-                if 2 * len(text) >= len(line) and adds_nothing(text, frame) and ws == own:
+                    frame = Prompt(line)
+                if 2 * len(text) >= len(line) and frame.adds_nothing(text) and ws == own:
                     out.add("copy")
                     continue
             if len(ws) >= SENTENCE_WORDS:

@@ -74,13 +74,15 @@ def differencing(weights: np.ndarray, bins: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(bins)]
 
 
-def _block_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("item").reset_index(drop=True)
-    bins = differencing(pdf["weight"].to_numpy(np.float64), BINS)
-    at = np.empty(len(pdf), np.int64)
-    for b, members in enumerate(bins):
-        at[members] = b
-    return pd.DataFrame({"item": pdf["item"], "weight": pdf["weight"], "bin": pdf["block"].astype(str) + "." + pd.Series(at).astype(str)})
+def _block_bins(bins: int):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item").reset_index(drop=True)
+        at = np.empty(len(pdf), np.int64)
+        for b, members in enumerate(differencing(pdf["weight"].to_numpy(np.float64), bins)):
+            at[members] = b
+        return pd.DataFrame({"item": pdf["item"], "weight": pdf["weight"], "bin": pdf["block"].astype(str) + "." + pd.Series(at).astype(str)})
+
+    return f
 
 
 def _shares(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,22 +96,26 @@ def _shares(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"item": pdf["item"], "part": to})
 
 
-def balanced_splits(records: DataFrame) -> DataFrame:
-    """(rid, source, group_tool, part): whole groups in train, validation and test at 80/10/10 of the rows."""
+def balanced_splits(records: DataFrame, bins: int = BINS, block: int = BLOCK) -> DataFrame:
+    """(rid, source, group_tool, part): whole groups in train, validation and test at 80/10/10 of the rows.
+
+    block has to be a few times bins, so that each round leaves fewer items than it got."""
+    if block < 4 * bins:
+        raise ValueError("block is too small for so many bins")
     g = cut(groups(records))
     whole = g.groupBy("source", "group_tool").agg(F.count("*").alias("weight"))
     ident = F.concat(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.lit("\x1f"), F.col("group_tool"))
     whole = cut(whole.withColumn("item", ident))
     items, place, n = whole.select("item", "weight"), whole.select("item", F.col("item").alias("now")), whole.count()
-    while n > BINS:
-        blocks = -(-n // BLOCK)
-        put = cut(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("block").applyInPandas(_block_bins, "item string, weight long, bin string"))
+    while n > bins:
+        blocks = -(-n // block)
+        put = cut(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("block").applyInPandas(_block_bins(bins), "item string, weight long, bin string"))
         place = place.join(put.select(F.col("item").alias("now"), F.col("bin").alias("next")), "now").select("item", F.col("next").alias("now"))
         items = cut(put.groupBy(F.col("bin").alias("item")).agg(F.sum("weight").alias("weight")))
         n = items.count()
         if blocks == 1:
             break
-    part = items.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_shares, "item string, part string")  # at most BINS rows
+    part = items.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_shares, "item string, part string")  # at most bins rows
     place = cut(place.join(part.select(F.col("item").alias("now"), "part"), "now").join(whole.drop("weight"), "item").select("source", "group_tool", "part"))
     if n and whole.count() <= BROADCAST_ROWS:
         place = F.broadcast(place)

@@ -82,10 +82,10 @@ def consistent(s: str | None) -> str | None:
         s = s.translate(_TABLE)
     if not unicodedata.is_normalized("NFC", s):
         s = unicodedata.normalize("NFC", s)
-    if _NONLATIN.search(s) and _LATIN.search(s):
-        s = _scripts(s)
-    elif _NONLATIN.search(s):
-        s = _WORD.sub(lambda x: _word(x.group(), False), s)
+    if _NONLATIN.search(s):
+        t = _scripts(s) if _LATIN.search(s) else _WORD.sub(lambda x: _word(x.group(), False), s)
+        if t != s:  # a mark after a letter that was replaced may compose with the new one
+            s = unicodedata.normalize("NFC", t)
     return s
 
 
