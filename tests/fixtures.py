@@ -49,4 +49,9 @@ def tool(name, parameters='{"type": "object", "properties": {}}', description=No
 
 
 def rows(df):
-    return sorted(map(tuple, df.collect()), key=repr)
+    return ordered(map(tuple, df.collect()))
+
+
+def ordered(xs):
+    """Sorted, nulls last."""
+    return sorted(xs, key=lambda r: [(x is None, x) for x in r])
