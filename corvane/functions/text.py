@@ -78,15 +78,19 @@ def call_blocks(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?s)<functioncall>\s*(.+?)\s*(?=<\|endoftext\|>|<functioncall>|\n\n|$)"), F.lit(1))
 
 
-def parse_call(block: Column) -> Column:
-    """STRUCT<name, arguments>: strict JSON first, then tolerant patterns for single- or double-quoted arguments; null
-    without a snake_case name; arguments that can't be read are '{}'."""
-    v = F.try_parse_json(block)
-    name = F.coalesce(F.try_variant_get(v, "$.name", "string"), F.nullif(F.regexp_extract(block, r"[\"']name[\"']\s*:\s*[\"']([^\"']+)[\"']", 1), F.lit("")))
-    quoted = F.coalesce(F.nullif(F.regexp_extract(block, r"(?s)[\"']arguments[\"']\s*:\s*'(.*)'\s*\}\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(block, r"(?s)[\"']arguments[\"']\s*:\s*(\{.*\})\s*\}\s*$", 1), F.lit("")))
-    inner = F.coalesce(F.try_parse_json(F.try_variant_get(v, "$.arguments", "string")), F.try_variant_get(v, "$.arguments", "variant"), F.try_parse_json(quoted))
-    text = F.to_json(inner)
-    return F.when(is_snake_case(name), F.struct(name.alias("name"), F.when(text.startswith("{"), text).otherwise("{}").alias("arguments")))
+def parse_calls(blocks: Column) -> Column:
+    """ARRAY<STRUCT<name, arguments>> of an array of call blocks: strict JSON first, then tolerant patterns for single-
+    or double-quoted arguments; blocks without a snake_case name are left out; arguments that can't be read are '{}'.
+
+    One transform for each step, so that no block is parsed more than once."""
+    s = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.try_parse_json(b).alias("v")))
+    named = lambda b: F.nullif(F.regexp_extract(b, r"[\"']name[\"']\s*:\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
+    s = F.transform(s, lambda x: F.struct(x["b"].alias("b"), x["v"].alias("v"), F.coalesce(F.try_variant_get(x["v"], "$.name", "string"), named(x["b"])).alias("name")))
+    s = F.filter(s, lambda x: is_snake_case(x["name"]))
+    quoted = lambda b: F.coalesce(F.nullif(F.regexp_extract(b, r"(?s)[\"']arguments[\"']\s*:\s*'(.*)'\s*\}\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(b, r"(?s)[\"']arguments[\"']\s*:\s*(\{.*\})\s*\}\s*$", 1), F.lit("")))
+    inner = lambda x: F.coalesce(F.try_parse_json(F.try_variant_get(x["v"], "$.arguments", "string")), F.try_variant_get(x["v"], "$.arguments", "variant"), F.try_parse_json(quoted(x["b"])))
+    s = F.transform(s, lambda x: F.struct(x["name"].alias("name"), F.to_json(inner(x)).alias("t")))
+    return F.transform(s, lambda x: F.struct(x["name"].alias("name"), F.when(x["t"].startswith("{"), x["t"]).otherwise("{}").alias("arguments")))
 
 
 def first_object(text: str | None) -> str | None:

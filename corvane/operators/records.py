@@ -26,22 +26,29 @@ def names(items: Column) -> Column:
 
 def first_exchange(turns: Column) -> Column:
     """The turns from the first user turn to the one before the second user turn."""
-    flagged = F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), t["content"].alias("content"), F.size(F.filter(F.slice(turns, 1, i + 1), lambda u: u["role"] == "user")).alias("n")))
-    return F.filter(flagged, lambda t: t["n"] == 1)
+    users = F.array_compact(F.transform(turns, lambda t, i: F.when(t["role"] == "user", i)))
+    first, second = F.get(users, F.lit(0)), F.coalesce(F.get(users, F.lit(1)), F.size(turns))
+    return F.when(first.isNotNull(), F.slice(turns, first + 1, second - first))
 
 
-def calls_before_answer(turns: Column) -> Column:
-    """Calls of the assistant turns of the first exchange, up to the first function turn."""
-    ex = first_exchange(turns)
-    upto = F.filter(F.transform(ex, lambda t, i: F.struct(t["role"].alias("role"), t["content"].alias("content"), F.exists(F.slice(ex, 1, i + 1), lambda u: u["role"] == "function").alias("over"))), lambda t: ~t["over"] & (t["role"] == "assistant"))
-    blocks = F.flatten(F.transform(upto, lambda t: X.call_blocks(t["content"])))
-    return F.array_compact(F.transform(blocks, X.parse_call))
+def before_function(exchange: Column) -> Column:
+    """The turns before the first function turn."""
+    at = F.array_position(F.transform(exchange, lambda t: t["role"]), "function")
+    return F.when(at > 0, F.slice(exchange, F.lit(1), (at - 1).cast("int"))).otherwise(exchange)
+
+
+def with_first_calls(turns: DataFrame, column: str = "turns") -> DataFrame:
+    """turns with function_calls: the calls of the assistant turns of the first exchange, up to a function turn."""
+    t = turns.withColumn("ex", first_exchange(F.col(column)))
+    t = t.withColumn("ex", before_function(F.col("ex")))
+    t = t.withColumn("blocks", F.flatten(F.transform(F.filter("ex", lambda x: x["role"] == "assistant"), lambda x: X.call_blocks(x["content"]))))
+    return t.withColumn("function_calls", X.parse_calls(F.col("blocks"))).drop("ex", "blocks")
 
 
 def from_chat(raw: DataFrame, key: str = "doc_id", chat: str = "text") -> DataFrame:
     """(key, query, function_calls, n_turns) of each dialogue with a first user turn and a call in answer to it."""
     t = raw.select(key, X.turns(F.col(chat)).alias("turns")).where(F.exists("turns", lambda x: x["role"] == "user"))
-    r = t.select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query"), calls_before_answer(F.col("turns")).alias("function_calls"), F.size("turns").alias("n_turns"))
+    r = with_first_calls(t).select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query"), "function_calls", F.size("turns").alias("n_turns"))
     return r.where("query <> '' and size(function_calls) > 0")
 
 

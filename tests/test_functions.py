@@ -38,9 +38,9 @@ def test_calls_of_a_turn(spark):
     s = """<functioncall> {"name": "f", "arguments": '{"k": "v"}'} <|endoftext|>\n\n<functioncall> {"name": "g", "arguments": {"x": 1}}"""
     blocks = col(spark, [s], X.call_blocks)[0]
     assert len(blocks) == 2
-    got = col(spark, [*blocks, '{"name": "Bad Name"}', "nonsense", None], X.parse_call)
-    assert [(g["name"], json.loads(g["arguments"])) for g in got[:2]] == [("f", {"k": "v"}), ("g", {"x": 1})]
-    assert got[2:] == [None, None, None]
+    got = col(spark, [[*blocks, '{"name": "Bad Name"}', "nonsense", None], [], None], X.parse_calls, "array<string>")
+    assert [(g["name"], json.loads(g["arguments"])) for g in got[0]] == [("f", {"k": "v"}), ("g", {"x": 1})]
+    assert got[1:] == [[], None]
 
 
 def test_first_object():
