@@ -11,6 +11,7 @@ from corvane.operators import dedup, labels, pairing, pool, records, reports, sa
 from corvane.operators.graph import components, dominant_stratum
 from corvane.operators.records import name_key, names
 from corvane.plans.common import Query, on
+from corvane.plans.nested_queries import DECODED
 
 KEY = r"trim(lower(regexp_replace(query, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
 LANG = "CASE WHEN regexp_matches(lower(trim(language)), '^(en|eng)([-_]|$)') THEN 'en' WHEN regexp_matches(lower(trim(language)), '^(vi|vie)([-_]|$)') THEN 'vi' END"
@@ -39,6 +40,16 @@ c AS (SELECT rid, CASE WHEN n_id > 1 THEN 'duplicate_id' WHEN n_sc > 1 THEN 'dup
 """
 
 
+COMPONENTS = PAIRS.replace("WITH l", "WITH RECURSIVE l") + f""", e AS (SELECT DISTINCT 'en:' || (SELECT {KEY} FROM (SELECT en.query AS query)) AS a, 'vi:' || (SELECT {KEY} FROM (SELECT vi.query AS query)) AS b FROM en JOIN vi ON en.id = vi.id WHERE trim(en.query) <> '' AND trim(vi.query) <> ''),
+u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+c AS (SELECT x, y FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x)
+"""
+
+
+def _any(cues: tuple[str, ...]) -> str:
+    return " OR ".join("contains(t, ' {} ')".format(c.replace("'", "''")) for c in cues)
+
+
 def _dedup(r: DataFrame) -> DataFrame:
     k = dedup.scenario_key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
     rows = r.select("rid", "id", pairing.main_language(F.col("language")).alias("lg"), k.alias("sk"))
@@ -244,11 +255,22 @@ list_sort(list_transform(en.tools, lambda c: {_name('c.name')})) IS NOT DISTINCT
         "reject_log": VALID.replace("FROM records)", f"FROM (SELECT *, {LANG} AS lg FROM records))")
         + """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lg ORDER BY rid) AS rn FROM v WHERE lg IS NOT NULL AND id IS NOT NULL) WHERE rn = 1)
 SELECT en.id AS id, array_to_string(en.errors, '; ') AS en_errors, array_to_string(vi.errors, '; ') AS vi_errors FROM r en JOIN r vi ON en.id = vi.id AND en.lg = 'en' AND vi.lg = 'vi' WHERE len(en.errors) + len(vi.errors) > 0""",
-        "components": PAIRS.replace("WITH l", "WITH RECURSIVE l")
-        + f""", e AS (SELECT DISTINCT 'en:' || (SELECT {KEY} FROM (SELECT en.query AS query)) AS a, 'vi:' || (SELECT {KEY} FROM (SELECT vi.query AS query)) AS b FROM en JOIN vi ON en.id = vi.id WHERE trim(en.query) <> '' AND trim(vi.query) <> ''),
-u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
-c AS (SELECT x, y FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x)
-SELECT x AS node, min(y) AS root FROM c GROUP BY x""",
+        "components": COMPONENTS + "SELECT x AS node, min(y) AS root FROM c GROUP BY x",
+        "dominant_strata": COMPONENTS
+        + f""", n AS (SELECT x AS node, min(y) AS root FROM c GROUP BY x),
+g AS (SELECT n.root AS grp, source, coalesce(len(function_calls) > 0, false) AS positive FROM en JOIN n ON n.node = 'en:' || {KEY}),
+k AS (SELECT grp, source, positive, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, source, positive) AS rn FROM g GROUP BY 1, 2, 3)
+SELECT grp, source, positive FROM k WHERE rn = 1""",
+        "boolean_cues": f"""WITH k AS (SELECT rid, ' ' || lower(regexp_replace(query, '[.,;:!?\\s]+', ' ', 'g')) || ' ' AS t FROM records)
+SELECT rid, CASE WHEN {_any(X.NO_CUES)} THEN 1 WHEN {_any(X.YES_CUES)} THEN 0 END AS cue FROM k""",
+        "id_set_digest_merged": """WITH d AS (SELECT DISTINCT split, id, sha256(id) AS h FROM records WHERE split IS NOT NULL AND id IS NOT NULL)
+SELECT split, count(*) AS n, sha256(concat_ws(':', CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS digest FROM d GROUP BY split""",
+        "pair_identifiers": PAIRS
+        + f""", k AS (SELECT id, lg, list_transform(function_calls, lambda c: {_name('c.name')}) AS names, list_transform(function_calls, lambda c: coalesce(list_sort(list_distinct(json_keys({DECODED.format('c.arguments')}))), [])) AS keys FROM r)
+SELECT e.id AS id, e.names IS NOT DISTINCT FROM v.names AND e.keys IS NOT DISTINCT FROM v.keys AS same FROM k e JOIN k v ON e.id = v.id AND e.lg = 'en' AND v.lg = 'vi'""",
+        "error_taxonomy": f"""WITH c AS (SELECT rid, query, unnest(function_calls).arguments AS raw FROM records WHERE query IS NOT NULL), j AS (SELECT query, {DECODED.format('raw')} AS j FROM c),
+k AS (SELECT unnest(['city', 'guest_name', 'reference', 'place_name']) AS key), v AS (SELECT key, query, json_extract_string(j, '$.' || key) AS value FROM j, k WHERE json_type(j) = 'OBJECT')
+SELECT key, count(*) AS n, count(*) FILTER (WHERE contains(query, value)) AS verbatim, count(*) FILTER (WHERE NOT contains(query, value)) AS transformed, count(*) AS missing FROM v WHERE value IS NOT NULL GROUP BY key""",
         "split_assignment": f"SELECT rid, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT rid, CAST(('0x' || substr(sha256({KEY}), 1, 8)) AS BIGINT) % 100 AS h FROM records WHERE query IS NOT NULL)",
         "ratio_split": "SELECT rid, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM (SELECT rid, row_number() OVER (PARTITION BY source ORDER BY sha256(concat('42:', rid)), rid) AS rn, count(*) OVER (PARTITION BY source) AS n FROM records WHERE source IS NOT NULL)",
         "split_leakage": f"""WITH k AS (SELECT split, id, nullif({KEY}, '') AS q, concat_ws(chr(29), coalesce(source, ''), coalesce({KEY}, ''), {FLAT_CALLS}, {FLAT_TOOLS}) AS sk FROM records WHERE split IS NOT NULL),
