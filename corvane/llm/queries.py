@@ -42,5 +42,25 @@ def queries() -> dict[str, Query]:
     }
 
 
+NAME = "lower(regexp_replace(regexp_replace({}, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', ''))"
+GROUPS = f"""WITH RECURSIVE t AS (SELECT DISTINCT rid, source, {NAME.format('x.name')} AS name FROM (SELECT rid, source, unnest(tools) AS x FROM records)),
+n AS (SELECT * FROM t WHERE name <> ''),
+e AS (SELECT DISTINCT a.source AS source, a.name AS x, b.name AS y FROM n a JOIN n b ON a.rid = b.rid),
+c AS (SELECT source, x, y FROM e UNION SELECT c.source, c.x, e.y FROM c JOIN e ON c.y = e.x AND c.source IS NOT DISTINCT FROM e.source)
+SELECT n.rid AS rid, n.source AS source, min(c.y) AS group_tool FROM n JOIN c ON c.x = n.name AND c.source IS NOT DISTINCT FROM n.source GROUP BY n.rid, n.source"""
+SHARED = """WITH w AS (SELECT doc_id, p AS pos, md5(substr(text, CAST(p AS BIGINT) + 1, 400)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 399)) AS p FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+k AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 400 THEN 0 ELSE 1 END AS new FROM w WHERE h IN (SELECT h FROM s)),
+r AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM k),
+f AS (SELECT doc_id, CAST(min(pos) AS INT) AS start_at, CAST(max(pos) + 400 AS INT) AS end_at FROM r GROUP BY doc_id, run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": GROUPS,
+        "p10_found": SHARED + "SELECT doc_id, start_at, end_at FROM f",
+        "p10_share": SHARED
+        + """, g AS (SELECT doc_id, sum(end_at - start_at) AS n FROM f GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 4) ELSE 0.0 END AS share FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    }
