@@ -17,11 +17,19 @@ def scenario_key(query_key: Column, source: Column, calls: Column, tools: Column
 
 def first_wins(rows: DataFrame, ident: list[str], scenario: str, order: str) -> DataFrame:
     """rows with reason: 'duplicate_id' for all but the first of an id, 'duplicate_scenario' for all but the first of a
-    scenario among those left, null for kept rows. A row that fell out by its id claims no scenario."""
-    r = rows.withColumn("nth_id", F.row_number().over(W.partitionBy(*ident).orderBy(order)))
-    nth = F.row_number().over(W.partitionBy("fallen", scenario).orderBy(order))
-    r = r.withColumn("fallen", F.col("nth_id") > 1).withColumn("nth", nth)
-    return r.withColumn("reason", F.when(F.col("fallen"), "duplicate_id").when(F.col("nth") > 1, "duplicate_scenario")).drop("nth_id", "nth", "fallen")
+    scenario among those left, null for kept rows. A row that fell out by its id claims no scenario.
+
+    order is unique. Firsts are minima that are combined map-side and joined back, so a hot id or scenario is never
+    sorted in one task; null keys are keys like others."""
+    ids = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ident)]).agg(F.min(order).alias("_id"))
+    same = F.lit(True)
+    for i, c in enumerate(ident):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    r = rows.join(ids, same).drop(*[f"_k{i}" for i in range(len(ident))])
+    sc = r.where(F.col(order) == F.col("_id")).groupBy(F.col(scenario).alias("_s")).agg(F.min(order).alias("_sc"))
+    r = r.join(sc, F.col(scenario).eqNullSafe(F.col("_s")), "left")
+    reason = F.when(F.col(order) > F.col("_id"), "duplicate_id").when(F.col(order) > F.col("_sc"), "duplicate_scenario")
+    return r.withColumn("reason", reason).drop("_id", "_s", "_sc")
 
 
 def keep_highest_split(rows: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corvane.operators.ranking import ranked
 from corvane.operators.records import names
 
 BROADCAST_ROWS = 100_000
@@ -59,11 +60,9 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def positional(left: DataFrame, right: DataFrame, lorder: str, rorder: str, part: str | None = None) -> DataFrame:
-    """The k-th row of either side joined; it stops at the shorter one. Within part, if given, so that no single task
-    orders a whole table."""
+    """The k-th row of either side joined; it stops at the shorter one. Within part, if given. Orders are unique."""
     keys = [part] if part else []
-    rank = lambda df, o: df.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(o)))
-    return rank(left, lorder).join(rank(right, rorder), [*keys, "k"])
+    return ranked(left, [lorder], part, "k").join(ranked(right, [rorder], part, "k"), [*keys, "k"])
 
 
 def without_failed(source: DataFrame, failed: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +84,7 @@ def conformance(rows: DataFrame, manifest: DataFrame, key: str = "id") -> DataFr
     """One row: keys that only the files or only the manifest have, keys whose split differs (JOI-10)."""
     a, b = rows.select(key, F.col("split").alias("got")).distinct(), manifest.select(key, F.col("split").alias("want"))
     j = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), key, "full_outer")
-    return j.agg(F.count_if("b is null" if False else F.col("b").isNull()).alias("not_in_manifest"), F.count_if(F.col("a").isNull()).alias("not_in_files"), F.count_if(F.expr("a = 1 and b = 1 and not (got <=> want)")).alias("other_split"))
+    return j.agg(F.count_if(F.col("b").isNull()).alias("not_in_manifest"), F.count_if(F.col("a").isNull()).alias("not_in_files"), F.count_if(F.expr("a = 1 and b = 1 and not (got <=> want)")).alias("other_split"))
 
 
 def with_gold_schema(candidates: DataFrame, own: DataFrame, pool: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corvane.operators.ranking import ranked
 from corvane.operators.split import shuffle_key
 
 
@@ -57,7 +58,7 @@ def nested_candidates(anchors: DataFrame, pool: DataFrame, sizes: list[int], see
     cand = cand.withColumn("rn", rank).where(F.col("rn") <= most)
     size = F.explode(F.array(*map(F.lit, sizes)))
     d = cand.select("rid", "name", "rn", F.size("gold").alias("g"), size.alias("n")).where("rn <= n - g").select("rid", "n", (F.col("rn") + F.col("g")).alias("nth"), "name", F.lit(False).alias("is_gold"))
-    g = a.select("rid", F.posexplode("gold").alias("p", "name"), size.alias("n")) if False else a.select("rid", size.alias("n"), "gold").select("rid", "n", F.posexplode("gold").alias("p", "name"))
+    g = a.select("rid", size.alias("n"), "gold").select("rid", "n", F.posexplode("gold").alias("p", "name"))
     return d.union(g.where("p < n").select("rid", "n", (F.col("p") + 1).alias("nth"), "name", F.lit(True).alias("is_gold")))
 
 
@@ -68,5 +69,5 @@ def shard(rows: DataFrame, ordinal: str, n: int, k: int) -> DataFrame:
 
 def length_batches(rows: DataFrame, length: Column, key: str, part: str, size: int) -> DataFrame:
     """rows with batch: consecutive rows by length within part, ``size`` each (WIN-10)."""
-    rn = F.row_number().over(W.partitionBy(part).orderBy(length, key))
-    return rows.withColumn("batch", F.floor((rn - 1) / size))
+    r = ranked(rows.withColumn("_len", length), ["_len", key], part, "_rn")
+    return r.withColumn("batch", F.floor((F.col("_rn") - 1) / size)).drop("_len", "_rn")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from corvane.operators.ranking import group_sizes, ranked
 
 RATIOS = (0.8, 0.1, 0.1)
 NAMES = ("train", "val", "test")
@@ -17,10 +18,11 @@ def shuffle_key(seed: int, key: Column) -> Column:
 
 def ratio_split(rows: DataFrame, key: str, seed: int = 42, part: str | None = None) -> DataFrame:
     """rows with split by rank in the shuffled order of their part: floor(n * ratio) rows each, the rest is test."""
-    by = W.partitionBy(*([part] if part else [F.lit(0)]))
-    rn, n = F.row_number().over(by.orderBy(shuffle_key(seed, F.col(key)), key)), F.count("*").over(by)
-    a, b = F.floor(n * RATIOS[0]), F.floor(n * RATIOS[1])
-    return rows.withColumn("rn", rn).withColumn("a", a).withColumn("b", b).withColumn("split", F.when(F.col("rn") <= F.col("a"), NAMES[0]).when(F.col("rn") <= F.col("a") + F.col("b"), NAMES[1]).otherwise(NAMES[2])).drop("rn", "a", "b")
+    r = ranked(rows.withColumn("_o", shuffle_key(seed, F.col(key))), ["_o", key], part, "_rn")
+    r = group_sizes(r, part, "_n")
+    a, b = F.floor(F.col("_n") * RATIOS[0]), F.floor(F.col("_n") * RATIOS[1])
+    to = F.when(F.col("_rn") <= a, NAMES[0]).when(F.col("_rn") <= a + b, NAMES[1]).otherwise(NAMES[2])
+    return r.withColumn("split", to).drop("_o", "_rn", "_n")
 
 
 def greedy_group_split(groups: DataFrame, stratum: str = "stratum", ident: str = "grp", size: str = "size", seed: int = 42, block: int = 50_000) -> DataFrame:

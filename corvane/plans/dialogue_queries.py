@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from corvane.functions import text as X
 from corvane.operators import records, reports, scoring
+from corvane.operators.ranking import ranked
 from corvane.plans.common import Query, on
 
 
@@ -47,7 +48,7 @@ def _flags(d: DataFrame) -> DataFrame:
 def _single(d: DataFrame) -> DataFrame:
     """(filtered_index, doc_id): dialogues of one user turn, renumbered (SNK-06)."""
     one = _chats(d).where(F.size(F.filter(X.turns(F.col("text")), lambda x: x["role"] == "user")) == 1).select("doc_id", "origin")
-    return one.select("doc_id", "origin", (F.row_number().over(W.partitionBy("origin").orderBy("doc_id")) - 1).alias("filtered_index"))
+    return ranked(one, ["doc_id"], "origin", "k").select("doc_id", "origin", (F.col("k") - 1).cast("int").alias("filtered_index"))
 
 
 def _errors(f: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def _positional(r: DataFrame, f: DataFrame) -> DataFrame:
     idx = F.regexp_extract("id", r"_(\d+)$", 1).cast("long")
     src = pairing.without_failed(en.select("rid", F.col("source").alias("dataset"), idx.alias("source_index")), f, ["dataset", "source_index"])
     out = vi.select(F.col("rid").alias("vi_rid"), F.col("source").alias("dataset"))
-    return pairing.positional(src, out, "rid", "vi_rid", "dataset").select("dataset", "k", "rid", "vi_rid")
+    return pairing.positional(src, out, "rid", "vi_rid", "dataset").select("dataset", F.col("k").cast("int").alias("k"), "rid", "vi_rid")
 
 
 def _haystack(r: DataFrame, p: DataFrame) -> DataFrame:

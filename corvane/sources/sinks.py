@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.ranking import ranked
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -105,8 +107,6 @@ def archive(spark: SparkSession, paths: list[str], target: str, dry_run: bool =
 
 def raw_filter(raw: DataFrame, keep, order: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The untouched rows that keep takes, and (filtered_index, source_index) per part (SNK-06)."""
-    from pyspark.sql import Window as W
-
     kept = raw.where(keep)
-    by = W.partitionBy(*([part] if part else [F.lit(0)])).orderBy(order)
-    return kept, kept.select(*([part] if part else []), F.col(order).alias("source_index"), (F.row_number().over(by) - 1).alias("filtered_index"))
+    ix = ranked(kept.select(*([part] if part else []), F.col(order).alias("source_index")), ["source_index"], part, "nth")
+    return kept, ix.select(*([part] if part else []), "source_index", (F.col("nth") - 1).alias("filtered_index"))
