@@ -156,6 +156,11 @@ def span_of(value: Column, query: Column) -> Column:
     return F.when((at >= 0) & (F.length(value) > 0), F.struct(at.alias("start"), (at + F.length(value)).alias("end")))
 
 
+def iso_utc(c: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC, in sessions of any time zone (DAT-01)."""
+    return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 # Phrases that answer a yes/no parameter.
 NO_CUES = ("don't", "do not", "without", "no need", "not", "không cần", "không muốn", "không", "đừng", "chưa")
 YES_CUES = ("please", "with", "yes", "want", "need", "có", "cần", "muốn", "hãy", "đúng")

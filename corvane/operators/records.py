@@ -87,8 +87,9 @@ def canonical_tools(tools: Column) -> Column:
 # ---- rule sets (PRD-02..08) -------------------------------------------------------------------------------------------
 
 
-def rule_errors(deep: bool = False) -> Column:
-    """ARRAY<STRING> of the broken rules of a master record; [] for a good one. deep adds those inside JSON."""
+def rule_errors(deep: bool = False, legacy: bool = False) -> Column:
+    """ARRAY<STRING> of the broken rules of a master record; [] for a good one. deep adds those inside JSON; legacy is
+    the older, stricter set, which also asks for a call in each record and a feature group for each tool."""
     tool_names, call_names = names(F.col("tools")), names(F.col("function_calls"))
     rules = [
         (F.coalesce(F.trim("id"), F.lit("")) == "", "id: empty"),
@@ -101,6 +102,11 @@ def rule_errors(deep: bool = False) -> Column:
         (F.size(F.array_except(call_names, tool_names)) > 0, "calls: not in tools"),
         (F.exists("function_calls", lambda c: ~F.coalesce(F.ltrim(c["arguments"]).rlike(r'^["{]'), F.lit(False))), "calls: arguments are no object"),
     ]
+    if legacy:
+        rules += [
+            (F.coalesce(F.size("function_calls"), F.lit(0)) <= 0, "calls: empty"),
+            (F.exists("tools", lambda t: F.coalesce(F.trim(t["feature_group"]), F.lit("")) == ""), "tools: no feature group"),
+        ]
     found = [F.when(F.coalesce(bad, F.lit(False)), F.lit(msg)) for bad, msg in rules]
     flat = F.array_compact(F.array(*found))
     if not deep:
@@ -128,9 +134,9 @@ def required(tools: Column, name: Column) -> Column:
     return F.coalesce(F.try_variant_get(_schema_of(tools, name), "$.required", "array<string>"), F.array().cast("array<string>"))
 
 
-def validated(records: DataFrame, deep: bool = False) -> DataFrame:
+def validated(records: DataFrame, deep: bool = False, legacy: bool = False) -> DataFrame:
     """records with errors and ok."""
-    e = records.withColumn("errors", rule_errors(deep))
+    e = records.withColumn("errors", rule_errors(deep, legacy))
     return e.withColumn("ok", F.size("errors") == 0)
 
 

@@ -195,6 +195,7 @@ def queries() -> dict[str, Query]:
         "repeated_ids": rec(lambda r: pairing.repeated_keys(r.where("id is not null"), "id")),
         "record_validation": rec(lambda r: _validated(r).select("rid", "ok", F.array_join("errors", "; ").alias("errors"))),
         "record_validation_deep": rec(lambda r: records.validated(r, deep=True).select("rid", "ok", F.array_join("errors", "; ").alias("errors"))),
+        "record_validation_legacy": rec(lambda r: records.validated(r, legacy=True).select("rid", "ok", F.array_join("errors", "; ").alias("errors"))),
         "validation_breakdown": rec(lambda r: reports.error_breakdown(_validated(r), F.col("errors"))),
         "validation_pass_rate": rec(lambda r: reports.pass_rate(_validated(r), F.col("ok"))),
         "reject_log": rec(_rejects),
@@ -250,6 +251,8 @@ list_transform(en.function_calls, lambda c: {_name('c.name')}) IS NOT DISTINCT F
 list_sort(list_transform(en.tools, lambda c: {_name('c.name')})) IS NOT DISTINCT FROM list_sort(list_transform(vi.tools, lambda c: {_name('c.name')})) AS same_tools FROM en JOIN vi ON en.id = vi.id""",
         "repeated_ids": "SELECT id, count(*) AS n FROM records WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
         "record_validation": VALID + "SELECT rid, len(errors) = 0 AS ok, coalesce(array_to_string(errors, '; '), '') AS errors FROM v",
+        "record_validation_legacy": VALID.replace("], lambda x: x IS NOT NULL)", ", CASE WHEN coalesce(len(function_calls), 0) = 0 THEN 'calls: empty' END, CASE WHEN len(list_filter(tools, lambda t: coalesce(trim(t.feature_group), '') = '')) > 0 THEN 'tools: no feature group' END], lambda x: x IS NOT NULL)")
+        + "SELECT rid, len(errors) = 0 AS ok, coalesce(array_to_string(errors, '; '), '') AS errors FROM v",
         "validation_breakdown": VALID + "SELECT trim(split_part(e, ':', 1)) AS prefix, count(*) AS n FROM (SELECT unnest(errors) AS e FROM v) GROUP BY 1",
         "validation_pass_rate": VALID + "SELECT count(*) AS n, count(*) FILTER (WHERE len(errors) = 0) AS passed, round(count(*) FILTER (WHERE len(errors) = 0) / greatest(count(*), 1), 4) AS pass_rate FROM v",
         "reject_log": VALID.replace("FROM records)", f"FROM (SELECT *, {LANG} AS lg FROM records))")
