@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK, TERM_BLOCK = 4_096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -113,19 +113,61 @@ def threshold_sweep(tops: DataFrame, steps: int = 100, extra: str = "label") ->
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q, d, score, rank): the k documents of highest BM25 score; queries (q, terms), docs (d, terms).
-
-    Terms that no query has are dropped before the postings are counted."""
-    n_docs = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    qt = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    vocab = qt.select("term").distinct()
-    post = docs.select("d", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(vocab, "term", "left_semi").groupBy("term", "d", "len").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    s = post.join(df, "term").crossJoin(F.broadcast(n_docs))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = s.select("term", "d", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("w"))
-    r = s.join(qt, "term").groupBy("q", "d").agg(F.round(F.sum("w"), 5).alias("score"))
-    return r.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("rank") <= k)
+    """(q, d, score, rank): the k documents of highest BM25 score of those that share a term with the query, ties by d;
+    queries (q, terms), docs (d, terms).
+
+    A stated query set against all documents, in blocks: document frequencies of the terms of a block are one aggregate
+    (at most the terms of the block); then each batch of documents is one product of its term weights with the block's
+    terms, and only its own k best of each query leave it."""
+    spark = docs.sparkSession
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg")).first()
+    out, block = None, []
+
+    def search(block: list) -> None:
+        nonlocal out
+        vocab: dict[str, int] = {}
+        pairs = [(vocab.setdefault(t, len(vocab)), i) for i, (_, terms) in enumerate(block) for t in set(terms)]
+        words = spark.createDataFrame([(t,) for t in vocab], "term string")
+        df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(words), "term").groupBy("term").count()
+        idf = np.zeros(len(vocab))
+        for term, n in df.collect():  # one row for each term of the block at most
+            idf[vocab[term]] = np.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
+        w = np.zeros((len(vocab), len(block)))
+        for t, i in pairs:
+            w[t, i] = idf[t]
+        share = spark.sparkContext.broadcast((vocab, w, np.array([q for q, _ in block], np.int64)))
+        avg = float(stats["avg"] or 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocab, w, qid = share.value
+            for big in batches:
+                for at in range(0, big.num_rows, 500):
+                    part = big.slice(at, 500)
+                    ids, lists = part.column("d").to_numpy(zero_copy_only=False), part.column("terms").to_pylist()
+                    tf = np.zeros((len(ids), len(vocab)))
+                    for i, terms in enumerate(lists):
+                        np.add.at(tf[i], [vocab[t] for t in terms if t in vocab], 1.0)
+                    norm = k1 * (1 - b + b * np.array([len(t) for t in lists]) / avg)
+                    score = np.round((tf * (k1 + 1) / (tf + norm[:, None])) @ w, 5)
+                    shared = (tf > 0).astype(np.float32) @ (w > 0).astype(np.float32) > 0
+                    score = np.where(shared, score, -np.inf).T
+                    o = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    r, c = np.repeat(np.arange(len(qid)), o.shape[1]), o.ravel()
+                    ok = np.isfinite(score[r, c])
+                    r, c = r[ok], c[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[c]), pa.array(score[r, c])], names=["q", "d", "score"])
+
+        part = docs.select("d", "terms").mapInArrow(run, "q long, d long, score double")
+        out = part if out is None else out.union(part)
+
+    for r in queries.orderBy("q").toLocalIterator():
+        block.append((r["q"], r["terms"]))
+        if len(block) == TERM_BLOCK:
+            search(block)
+            block = []
+    if block or out is None:
+        search(block or [(-1, [])])
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("rank") <= k)
 
 
 def domain_purity(candidates: DataFrame, groups: DataFrame) -> DataFrame:

@@ -182,3 +182,27 @@ def test_chat_rows(spark):
     c = records.chat_rows(r, F.lit("vi"))
     assert [x[0] for x in rows(c.select("rid"))] == [1, 2]
     assert c.where(F.size(records.chat_errors(F.col("messages"))) > 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_bm25_like_the_formula(spark, monkeypatch, block):
+    import math
+    import random
+
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", block)
+    rnd = random.Random(7)
+    voc = [f"t{i}" for i in range(12)]
+    docs = [(d, [rnd.choice(voc + ["z"]) for _ in range(rnd.randint(1, 9))]) for d in range(40)]
+    qs = [(q, [rnd.choice(voc) for _ in range(3)]) for q in range(5)] + [(9, []), (10, ["none"])]
+    avg = sum(len(t) for _, t in docs) / len(docs)
+    df = {t: sum(t in x for _, x in docs) for t in voc}
+    want = []
+    for q, terms in qs:
+        s = []
+        for d, x in docs:
+            if set(terms) & set(x):
+                s.append((-round(sum(math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / avg)) for t in set(terms) if t in x), 5), d))
+        want += [(q, d, r + 1) for r, (_, d) in enumerate(sorted(s)[:4])]
+    q, d = spark.createDataFrame(qs, "q long, terms array<string>"), spark.createDataFrame(docs, "d long, terms array<string>")
+    assert rows(retrieval.bm25(q, d, 4).select("q", "d", "rank")) == sorted(want)
+    assert retrieval.bm25(q.limit(0), d, 4).count() == 0 and retrieval.bm25(q, d.limit(0), 4).count() == 0
