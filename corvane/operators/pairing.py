@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corvane.operators.ranking import ranked
-from corvane.operators.records import names
+from corvane.operators.records import identifier_integrity, names, tool_shape
 
 BROADCAST_ROWS = 100_000
 
@@ -43,14 +43,24 @@ def pairs(en: DataFrame, vi: DataFrame) -> DataFrame:
 
 
 def pair_checks(p: DataFrame) -> DataFrame:
-    """(id, same_source, same_polarity, same_calls, same_tools) of each pair."""
+    """(id, same_source, same_polarity, same_calls, same_tools) of each pair; calls and tools by their names alone."""
+    calls = names(F.col("en.function_calls")).eqNullSafe(names(F.col("vi.function_calls")))
+    return _checks(p, calls, F.array_sort(names(F.col("en.tools"))).eqNullSafe(F.array_sort(names(F.col("vi.tools")))))
+
+
+def pair_shapes(p: DataFrame) -> DataFrame:
+    """pair_checks by shape (JOI-01): calls by name and argument keys in call order, tools by name and schema shape."""
+    return _checks(p, identifier_integrity(F.col("en.function_calls"), F.col("vi.function_calls")), tool_shape(F.col("en.tools")).eqNullSafe(tool_shape(F.col("vi.tools"))))
+
+
+def _checks(p: DataFrame, same_calls: Column, same_tools: Column) -> DataFrame:
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     return p.select(
         "id",
         F.col("en.source").eqNullSafe(F.col("vi.source")).alias("same_source"),
         (some(F.col("en.function_calls")) == some(F.col("vi.function_calls"))).alias("same_polarity"),
-        names(F.col("en.function_calls")).eqNullSafe(names(F.col("vi.function_calls"))).alias("same_calls"),
-        F.array_sort(names(F.col("en.tools"))).eqNullSafe(F.array_sort(names(F.col("vi.tools")))).alias("same_tools"),
+        same_calls.alias("same_calls"),
+        same_tools.alias("same_tools"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.functions.jsonx import as_schema_udf, object_keys, parsed, schema_errors_udf
+from corvane.functions.jsonx import as_schema_udf, object_keys, parameter_shapes_udf, parsed, schema_errors_udf
 
 SOURCES = ("glaive", "xlam", "custom_vi")
 
@@ -21,6 +21,12 @@ def names(items: Column) -> Column:
     return F.transform(items, lambda x: name_key(x["name"]))
 
 
+def tool_shape(tools: Column) -> Column:
+    """Name key and schema shape of each tool, sorted, null for a null array (PRJ-09)."""
+    shapes = parameter_shapes_udf(F.transform(tools, lambda t: t["parameters"]))
+    return F.array_sort(F.zip_with(names(tools), shapes, lambda n, s: F.struct(n.alias("name"), s.alias("parameters"))))
+
+
 # ---- raw forms (PRJ-01..04) -------------------------------------------------------------------------------------------
 
 

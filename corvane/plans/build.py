@@ -42,7 +42,7 @@ def plan(spark: SparkSession, raw: DataFrame, tool_pool: DataFrame, config: Buil
     v = records.validated(raw.where("id is not null"))
     en, vi = cut(pairing.one_per_id(v, "en")), cut(pairing.one_per_id(v, "vi"))
     p = pairing.pairs(en, vi)
-    checks = pairing.pair_checks(p)
+    checks = pairing.pair_shapes(p)
     agree = F.expr("same_source and same_polarity and same_calls and same_tools")
     p = cut(p.join(checks.select("id", agree.alias("agree")), "id"))
     bad_pair = p.where("not agree").select("id", F.lit("pair").alias("stage"), F.lit("versions disagree").alias("reason"))

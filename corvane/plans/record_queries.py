@@ -191,6 +191,7 @@ def queries() -> dict[str, Query]:
         "query_key_nfkc": rec(lambda r: r.select("rid", X.query_key(F.col("query")).alias("key"))),
         "pair_completeness": rec(lambda r: pairing.pair_completeness(*_pair_sides(r))),
         "pair_checks": rec(lambda r: pairing.pair_checks(pairing.pairs(*_pair_sides(r)))),
+        "pair_shapes": rec(lambda r: pairing.pair_shapes(pairing.pairs(*_pair_sides(r)))),
         "pair_identifiers": rec(lambda r: pairing.pairs(*_pair_sides(r)).select("id", records.identifier_integrity(F.col("en.function_calls"), F.col("vi.function_calls")).alias("same"))),
         "repeated_ids": rec(lambda r: pairing.repeated_keys(r.where("id is not null"), "id")),
         "record_validation": rec(lambda r: _validated(r).select("rid", "ok", F.array_join("errors", "; ").alias("errors"))),

@@ -49,3 +49,13 @@ def test_failed_check_raises(spark, tmp_path):
     rev.checks = spark.createDataFrame([("leak", 1)], "name string, n_bad long")
     with pytest.raises(ValueError, match="leak"):
         build.write(spark, rev, str(tmp_path / "rev"))
+
+
+def test_pairs_of_other_shape_are_left_out(spark):
+    raw, tools = source(spark)
+    odd = pair(50, "other keys") + pair(51, "other types")
+    odd[1]["function_calls"] = [("f", '{"b": "x"}')]
+    odd[3]["tools"] = [tool("f", P.replace("string", "integer"))]
+    rev = build.plan(spark, raw.union(records(spark, odd)), tools)
+    assert {r["id"] for r in rev.rejected.where("stage = 'pair'").collect()} == {"xlam_50", "xlam_51"}
+    assert rev.rows.where("id in ('xlam_50', 'xlam_51')").count() == 0

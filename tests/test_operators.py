@@ -107,6 +107,28 @@ def test_pairing(spark):
     assert rows(pairing.positional(left, out, "rid", "vi").select("rid", "vi")) == [(0, 10), (2, 11), (3, 12)]
 
 
+def test_pair_shapes(spark):
+    one = lambda rid, i, lang, args, params: {"rid": rid, "id": i, "language": lang, "source": "xlam", "function_calls": [("f", args)], "tools": [tool("f", params), tool("g")]}
+    same = '{"type": "object", "properties": {"city": {"description": "d", "type": "string"}}}'
+    r = table(
+        spark,
+        [
+            one(1, "a", "en", '{"city": "x", "n": 1}', same),
+            one(2, "a", "vi", '{"n": 2, "city": "y"}', '{"properties": {"city": {"type": "string"}}, "type": "object"}'),
+            one(3, "b", "en", '{"city": "x"}', same),
+            one(4, "b", "vi", '{"town": "x"}', same),
+            one(5, "c", "en", '{"city": "x"}', same),
+            one(6, "c", "vi", '{"city": "x"}', same.replace("string", "integer")),
+            one(7, "d", "en", "{}", '{"city": {"type": "str", "default": "x"}}'),
+            one(8, "d", "vi", "{}", same),
+            one(9, "e", "en", "{}", "{bad"),
+            one(10, "e", "vi", "{}", "{worse"),
+        ],
+    )
+    p = pairing.pairs(pairing.one_per_id(r, "en"), pairing.one_per_id(r, "vi"))
+    assert rows(pairing.pair_shapes(p).select("id", "same_calls", "same_tools")) == [("a", True, True), ("b", False, True), ("c", True, False), ("d", True, True), ("e", True, False)]
+
+
 def test_pool_merge(spark):
     t = spark.createDataFrame([(1, "F", "", "{}"), (2, "f ", "d", '{"type": 1}'), (3, "g", None, "{}"), (4, None, "x", "{}")], "o int, name string, description string, parameters string")
     got = {r["key"]: tuple(r)[1:] for r in pool.merge_pool(t, "o", F.contains("parameters", F.lit("type"))).collect()}
