@@ -6,15 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corvane.functions.jsonx import canonical_texts_udf
+from corvane.operators.records import names, tool_shape
+
 PRIORITY = {"test": 0, "val": 1, "train": 2}
 
 
 def scenario_key(query_key: Column, source: Column, calls: Column, tools: Column) -> Column:
-    """Fixed-size digest of what makes a scenario, so that no long text is shuffled."""
+    """Fixed-size digest of what makes a scenario, so that no long text is shuffled; JSON counts as it is written."""
     flat = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(F.lower(F.trim(x["name"])), F.lit("")), F.lit("\x1f"), F.coalesce(x["arguments" if c is calls else "parameters"], F.lit("")))), "\x1e"), F.lit(""))
     return F.sha2(F.concat_ws("\x1d", F.coalesce(source, F.lit("")), F.coalesce(query_key, F.lit("")), flat(calls), flat(tools)), 256)
 
 
+def canonical_scenario_key(query_key: Column, source: Column, calls: Column, tools: Column) -> Column:
+    """scenario_key from canonical arguments and the sorted tool shape (DED-01): key order, white space, double encoding,
+    order of tools and their descriptions make no difference. Null is like empty."""
+    args = canonical_texts_udf(F.transform(calls, lambda c: c["arguments"]))
+    flat = F.zip_with(names(calls), args, lambda n, a: F.struct(n.alias("name"), a.alias("arguments")))
+    some = lambda c: F.nullif(F.to_json(c), F.lit("[]"))
+    return F.sha2(F.to_json(F.struct(F.nullif(source, F.lit("")).alias("source"), F.nullif(query_key, F.lit("")).alias("query"), some(flat).alias("calls"), some(tool_shape(tools)).alias("tools"))), 256)
+
+
 def first_wins(rows: DataFrame, ident: list[str], scenario: str, order: str) -> DataFrame:
     """rows with reason: 'duplicate_id' for all but the first of an id, 'duplicate_scenario' for all but the first of a
     scenario among those left, null for kept rows. A row that fell out by its id claims no scenario.

@@ -48,7 +48,7 @@ def plan(spark: SparkSession, raw: DataFrame, tool_pool: DataFrame, config: Buil
     bad_pair = p.where("not agree").select("id", F.lit("pair").alias("stage"), F.lit("versions disagree").alias("reason"))
     bad_rule = p.where("agree and not (en.ok and vi.ok)").select("id", F.lit("rules").alias("stage"), F.concat_ws("; ", "en.errors", "vi.errors").alias("reason"))
     good = p.where("agree and en.ok and vi.ok")
-    key = dedup.scenario_key(X.query_key(F.col("en.query")), F.col("en.source"), F.col("en.function_calls"), F.col("en.tools"))
+    key = dedup.canonical_scenario_key(X.query_key(F.col("en.query")), F.col("en.source"), F.col("en.function_calls"), F.col("en.tools"))
     d = cut(dedup.first_wins(good.select("id", "en", "vi", F.col("en.rid").alias("ord"), key.alias("sk")), ["id"], "sk", "ord"))
     dup = d.where("reason is not null").select("id", F.lit("duplicate").alias("stage"), "reason")
     u = d.where("reason is null").select("id", "en", "vi")

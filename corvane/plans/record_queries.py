@@ -50,8 +50,8 @@ def _any(cues: tuple[str, ...]) -> str:
     return " OR ".join("contains(t, ' {} ')".format(c.replace("'", "''")) for c in cues)
 
 
-def _dedup(r: DataFrame) -> DataFrame:
-    k = dedup.scenario_key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
+def _dedup(r: DataFrame, key=dedup.scenario_key) -> DataFrame:
+    k = key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
     rows = r.select("rid", "id", pairing.main_language(F.col("language")).alias("lg"), k.alias("sk"))
     return dedup.first_wins(rows, ["id", "lg"], "sk", "rid").select("rid", "reason")
 
@@ -77,8 +77,12 @@ def _greedy(r: DataFrame) -> DataFrame:
     return split.greedy_group_split(size.join(s, "grp")).join(g.select("grp", "rid"), "grp").select("rid", "grp", "split")
 
 
-def _leak(r: DataFrame) -> DataFrame:
-    sk = dedup.scenario_key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
+def _reasons(d: DataFrame) -> DataFrame:
+    return d.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _leak(r: DataFrame, key=dedup.scenario_key) -> DataFrame:
+    sk = key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
     return dedup.leakage(r, {"id": F.col("id"), "query": F.nullif(X.ascii_key(F.col("query")), F.lit("")), "scenario": sk})
 
 
@@ -186,7 +190,9 @@ def queries() -> dict[str, Query]:
     rec = on("records")
     return {
         "scenario_dedup": rec(_dedup),
-        "dedup_reasons": rec(lambda r: _dedup(r).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))),
+        "dedup_reasons": rec(lambda r: _reasons(_dedup(r))),
+        "scenario_dedup_canonical": rec(lambda r: _dedup(r, dedup.canonical_scenario_key)),
+        "dedup_reasons_canonical": rec(lambda r: _reasons(_dedup(r, dedup.canonical_scenario_key))),
         "query_key_nfc": rec(lambda r: r.select("rid", X.query_key(F.col("query"), "NFC").alias("key"))),
         "query_key_nfkc": rec(lambda r: r.select("rid", X.query_key(F.col("query")).alias("key"))),
         "pair_completeness": rec(lambda r: pairing.pair_completeness(*_pair_sides(r))),
@@ -206,6 +212,7 @@ def queries() -> dict[str, Query]:
         "split_assignment": rec(lambda r: r.where("query is not null").select("rid", dedup.hash_split(X.ascii_key(F.col("query"))).alias("split"))),
         "ratio_split": rec(lambda r: split.ratio_split(r.where("source is not null").select("rid", "source"), "rid", part="source").select("rid", "split")),
         "split_leakage": rec(_leak),
+        "split_leakage_canonical": rec(lambda r: _leak(r, dedup.canonical_scenario_key)),
         "decontaminate_priority": rec(lambda r: dedup.keep_highest_split(r.where("split is not null").select("rid", "split", F.nullif(X.ascii_key(F.col("query")), F.lit("")).alias("key")), "key").select("rid", "split")),
         "corpus_counts": rec(reports.corpus_counts),
         "split_counts": rec(lambda r: r.groupBy(F.coalesce(pairing.main_language(F.col("language")), F.lit("other")).alias("lang"), F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n"))),

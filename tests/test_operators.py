@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import dedup, labels, pairing, pool, records, reports, retrieval, sampling, scoring, split
+from corvane.plans import record_queries
 from tests.fixtures import records as table
 from tests.fixtures import rows, tool
 
@@ -55,6 +56,27 @@ def test_first_wins(spark):
     assert dedup.first_wins(kept, ["id"], "sk", "ord").where("reason is not null").count() == 0
 
 
+def test_canonical_scenario(spark):
+    f, g = '{"type": "object", "properties": {"a": {"type": "string", "description": "d"}}}', '{"type": "object", "properties": {"b": {"type": "integer"}}}'
+    one = lambda i, args, tools: {"rid": i, "id": f"xlam_{i}", "source": "xlam", "language": "en", "split": "train" if i % 2 else "test", "query": "q", "function_calls": [("f", args)], "tools": tools}
+    r = table(
+        spark,
+        [
+            one(1, '{"a": "x", "b": 1}', [tool("f", f), tool("g", g)]),
+            one(2, '{"b":1,"a":"x"}', [tool("f", f), tool("g", g)]),  # order of keys, white space
+            one(3, '"{\\"a\\": \\"x\\", \\"b\\": 1}"', [tool("f", f), tool("g", g)]),  # encoded twice
+            one(4, '{"a": "x", "b": 1}', [tool("g", g, "other"), tool("f", f.replace('"d"', '"e"'))]),  # order and descriptions of tools
+            one(5, '{"a": "x", "b": 2}', [tool("f", f), tool("g", g)]),
+            one(6, '{"a": "x", "b": 1}', [tool("f", f), tool("g", g.replace("integer", "string"))]),
+            one(7, '{"a": "x", "b": 1', [tool("f", f), tool("g", g)]),
+            one(8, '{"a": "x", "b": 3', [tool("f", f), tool("g", g)]),
+        ],
+    )
+    assert rows(record_queries._dedup(r, dedup.canonical_scenario_key).where("reason is not null").select("rid", "reason")) == [(i, "duplicate_scenario") for i in (2, 3, 4)]
+    assert record_queries._dedup(r).where("reason is not null").count() == 0
+    assert rows(record_queries._leak(r, dedup.canonical_scenario_key).where("kind = 'scenario'")) == [("scenario", 1, 5)]
+
+
 def test_priorities_and_leakage(spark):
     df = spark.createDataFrame([(1, "k", "train"), (2, "k", "test"), (3, "m", "train"), (4, None, "train"), (5, "k", "test")], "rid int, key string, split string")
     assert [r[0] for r in rows(dedup.keep_highest_split(df, "key").select("rid"))] == [2, 3, 4, 5]
