@@ -50,28 +50,28 @@ def _any(cues: tuple[str, ...]) -> str:
     return " OR ".join("contains(t, ' {} ')".format(c.replace("'", "''")) for c in cues)
 
 
-def _dedup(r: DataFrame, key=dedup.scenario_key) -> DataFrame:
-    k = key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
+def _dedup(r: DataFrame, key=dedup.scenario_key, text=X.ascii_key) -> DataFrame:
+    k = key(text(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
     rows = r.select("rid", "id", pairing.main_language(F.col("language")).alias("lg"), k.alias("sk"))
     return dedup.first_wins(rows, ["id", "lg"], "sk", "rid").select("rid", "reason")
 
 
-def _components(r: DataFrame) -> DataFrame:
+def _components(r: DataFrame, text=X.ascii_key) -> DataFrame:
     en, vi = _pair_sides(r)
-    k = lambda lang: F.concat(F.lit(f"{lang}:"), X.ascii_key(F.col("query")))
+    k = lambda lang: F.concat(F.lit(f"{lang}:"), text(F.col("query")))
     e = en.where("trim(query) <> ''").select("id", k("en").alias("a")).join(vi.where("trim(query) <> ''").select("id", k("vi").alias("b")), "id")
     return components(e, "a", "b")
 
 
-def _groups(r: DataFrame) -> DataFrame:
+def _groups(r: DataFrame, text=X.ascii_key) -> DataFrame:
     """(rid, id, source, positive, grp): the component of each English record that has a pair."""
     en, _ = _pair_sides(r)
-    c = _components(r).withColumnRenamed("root", "grp")
-    return en.select("rid", "id", "source", (F.coalesce(F.size("function_calls"), F.lit(0)) > 0).alias("positive"), F.concat(F.lit("en:"), X.ascii_key(F.col("query"))).alias("node")).join(c, "node").drop("node")
+    c = _components(r, text).withColumnRenamed("root", "grp")
+    return en.select("rid", "id", "source", (F.coalesce(F.size("function_calls"), F.lit(0)) > 0).alias("positive"), F.concat(F.lit("en:"), text(F.col("query"))).alias("node")).join(c, "node").drop("node")
 
 
 def _greedy(r: DataFrame) -> DataFrame:
-    g = _groups(r)
+    g = _groups(r, X.query_key)
     size = g.groupBy("grp").agg(F.count("*").alias("size"))
     s = dominant_stratum(g, "grp", "source", "positive").select("grp", F.concat_ws("/", "s0", F.col("s1").cast("string")).alias("stratum"))
     return split.greedy_group_split(size.join(s, "grp")).join(g.select("grp", "rid"), "grp").select("rid", "grp", "split")
@@ -81,9 +81,21 @@ def _reasons(d: DataFrame) -> DataFrame:
     return d.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def _leak(r: DataFrame, key=dedup.scenario_key) -> DataFrame:
-    sk = key(X.ascii_key(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
-    return dedup.leakage(r, {"id": F.col("id"), "query": F.nullif(X.ascii_key(F.col("query")), F.lit("")), "scenario": sk})
+def _leak(r: DataFrame, key=dedup.scenario_key, text=X.ascii_key) -> DataFrame:
+    sk = key(text(F.col("query")), F.col("source"), F.col("function_calls"), F.col("tools"))
+    return dedup.leakage(r, {"id": F.col("id"), "query": F.nullif(text(F.col("query")), F.lit("")), "scenario": sk})
+
+
+def _strata(r: DataFrame, text=X.ascii_key) -> DataFrame:
+    return dominant_stratum(_groups(r, text), "grp", "source", "positive").select("grp", F.col("s0").alias("source"), F.col("s1").alias("positive"))
+
+
+def _hash_split(r: DataFrame, text=X.ascii_key) -> DataFrame:
+    return r.where("query is not null").select("rid", dedup.hash_split(text(F.col("query"))).alias("split"))
+
+
+def _decontaminated(r: DataFrame, text=X.ascii_key) -> DataFrame:
+    return dedup.keep_highest_split(r.where("split is not null").select("rid", "split", F.nullif(text(F.col("query")), F.lit("")).alias("key")), "key").select("rid", "split")
 
 
 def _exploded_tools(r: DataFrame) -> DataFrame:
@@ -191,8 +203,8 @@ def queries() -> dict[str, Query]:
     return {
         "scenario_dedup": rec(_dedup),
         "dedup_reasons": rec(lambda r: _reasons(_dedup(r))),
-        "scenario_dedup_canonical": rec(lambda r: _dedup(r, dedup.canonical_scenario_key)),
-        "dedup_reasons_canonical": rec(lambda r: _reasons(_dedup(r, dedup.canonical_scenario_key))),
+        "scenario_dedup_canonical": rec(lambda r: _dedup(r, dedup.canonical_scenario_key, X.query_key)),
+        "dedup_reasons_canonical": rec(lambda r: _reasons(_dedup(r, dedup.canonical_scenario_key, X.query_key))),
         "query_key_nfc": rec(lambda r: r.select("rid", X.query_key(F.col("query"), "NFC").alias("key"))),
         "query_key_nfkc": rec(lambda r: r.select("rid", X.query_key(F.col("query")).alias("key"))),
         "pair_completeness": rec(lambda r: pairing.pair_completeness(*_pair_sides(r))),
@@ -207,13 +219,17 @@ def queries() -> dict[str, Query]:
         "validation_pass_rate": rec(lambda r: reports.pass_rate(_validated(r), F.col("ok"))),
         "reject_log": rec(_rejects),
         "components": rec(_components),
-        "dominant_strata": rec(lambda r: dominant_stratum(_groups(r), "grp", "source", "positive").select("grp", F.col("s0").alias("source"), F.col("s1").alias("positive"))),
+        "components_nfkc": rec(lambda r: _components(r, X.query_key)),
+        "dominant_strata": rec(_strata),
+        "dominant_strata_nfkc": rec(lambda r: _strata(r, X.query_key)),
         "greedy_split": rec(_greedy),
-        "split_assignment": rec(lambda r: r.where("query is not null").select("rid", dedup.hash_split(X.ascii_key(F.col("query"))).alias("split"))),
+        "split_assignment": rec(_hash_split),
+        "split_assignment_nfkc": rec(lambda r: _hash_split(r, X.query_key)),
         "ratio_split": rec(lambda r: split.ratio_split(r.where("source is not null").select("rid", "source"), "rid", part="source").select("rid", "split")),
         "split_leakage": rec(_leak),
-        "split_leakage_canonical": rec(lambda r: _leak(r, dedup.canonical_scenario_key)),
-        "decontaminate_priority": rec(lambda r: dedup.keep_highest_split(r.where("split is not null").select("rid", "split", F.nullif(X.ascii_key(F.col("query")), F.lit("")).alias("key")), "key").select("rid", "split")),
+        "split_leakage_canonical": rec(lambda r: _leak(r, dedup.canonical_scenario_key, X.query_key)),
+        "decontaminate_priority": rec(_decontaminated),
+        "decontaminate_priority_nfkc": rec(lambda r: _decontaminated(r, X.query_key)),
         "corpus_counts": rec(reports.corpus_counts),
         "split_counts": rec(lambda r: r.groupBy(F.coalesce(pairing.main_language(F.col("language")), F.lit("other")).alias("lang"), F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n"))),
         "normalize_stats": rec(reports.normalize_stats),

@@ -1,5 +1,8 @@
 """Operators on literal rows and their properties."""
 
+import hashlib
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,27 @@ def test_canonical_scenario(spark):
     assert rows(record_queries._leak(r, dedup.canonical_scenario_key).where("kind = 'scenario'")) == [("scenario", 1, 5)]
 
 
+def test_unicode_query_keys(spark):
+    """Full-width letters, a combining accent and a non-breaking space: one query, against a brute force."""
+    texts = ["Book café 7", "\uff22ook café 7", "book cafe\u0301 7", "Book café\u00a07", "other"]
+    r = table(spark, [{"rid": 2 * i + k, "id": f"xlam_{i}", "source": "xlam", "language": lang, "split": ("test", "train", "val")[i % 3], "query": t if lang == "en" else f"vi {i}", "function_calls": [], "tools": []} for i, t in enumerate(texts) for k, lang in enumerate(("en", "vi"))])
+    q, key = record_queries, lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split())
+    en = r.where("language = 'en'")
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault(key(t), []).append(i)
+    assert [len(v) for v in by.values()] == [4, 1]
+    assert rows(q._leak(en, dedup.canonical_scenario_key, q.X.query_key)) == [("id", 0, 5), ("query", 1, 2), ("scenario", 1, 2)]
+    assert q._dedup(en, dedup.canonical_scenario_key, q.X.query_key).where("reason = 'duplicate_scenario'").count() == 3
+    assert [x[0] for x in rows(q._decontaminated(en, q.X.query_key))] == [0, 6, 8]
+    parts = {x["rid"]: x["split"] for x in q._hash_split(en, q.X.query_key).collect()}
+    h = {i: int(hashlib.sha256(key(t).encode()).hexdigest()[:8], 16) % 100 for i, t in enumerate(texts)}
+    assert parts == {2 * i: "train" if v < 80 else "val" if v < 90 else "test" for i, v in h.items()}
+    assert q._components(r, q.X.query_key).select("root").distinct().count() == q._strata(r, q.X.query_key).count() == 2
+    split = {x["rid"]: (x["grp"], x["split"]) for x in q._greedy(r).collect()}
+    assert len({split[2 * i] for i in range(4)}) == 1 and len(split) == 5
+
+
 def test_priorities_and_leakage(spark):
     df = spark.createDataFrame([(1, "k", "train"), (2, "k", "test"), (3, "m", "train"), (4, None, "train"), (5, "k", "test")], "rid int, key string, split string")
     assert [r[0] for r in rows(dedup.keep_highest_split(df, "key").select("rid"))] == [2, 3, 4, 5]
