@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from corvane.functions.jsonx import canonical, parsed
 from corvane.functions.output import parse_output
-from corvane.operators.records import names
+from corvane.functions.text import error_class
+from corvane.operators.records import name_key, names
 
 
 def call_key(calls: Column) -> Column:
@@ -39,6 +40,29 @@ def metrics(s: DataFrame, *by: str) -> DataFrame:
     return a.select(*by, "n", "n_pos", "n_neg", pct(c("k1"), c("n_pos")).alias("tool_pct"), pct(c("k2"), c("n_pos")).alias("tool_set_pct"), pct(c("k3"), c("n")).alias("exact_pct"), pct(c("k4"), c("n")).alias("exact_any_order_pct"), pct(c("k5"), c("n")).alias("clean_pct"), pct(c("k6"), c("n_neg")).alias("non_call_pct"), pct(c("k7"), c("n")).alias("syntax_error_pct"))
 
 
+def argument_errors(predictions: DataFrame) -> DataFrame:
+    """(pred_id, run, nth, name, key, gold, predicted, cls) of each top-level gold argument: cls is null if its value is
+    predicted, else W, T, P or I (STR-26).
+
+    The n-th gold call of a name is compared with the n-th parsed call of that name; without one all of its arguments
+    are missing. Values are equal as JSON, as in the scores; one of the same text but another type is P."""
+    args = lambda c: F.try_variant_get(parsed(c), "$", "map<string, variant>")
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+
+    def calls(df: DataFrame, c: str) -> DataFrame:
+        ns = names(F.col(c))
+        nth = lambda x, i: F.size(F.filter(F.slice(ns, F.lit(1), i + 1), lambda n: n.eqNullSafe(name_key(x["name"]))))
+        return df.select("pred_id", "run", "query", F.explode(F.transform(c, lambda x, i: F.struct(name_key(x["name"]).alias("name"), nth(x, i).alias("nth"), x["arguments"].alias("args")))).alias("c")).select("pred_id", "run", "query", "c.*")
+
+    one = lambda df, c, v: calls(df, c).select("pred_id", "run", "query", "name", "nth", F.explode(args(F.col("args"))).alias("key", "v")).select("pred_id", "run", "query", "name", "nth", "key", F.to_json("v").alias(f"{v}_json"), text(F.col("v")).alias(v))
+    p = predictions.select("pred_id", "run", "query", "gold", parse_output(F.col("raw_output"))["calls"].alias("calls"))
+    g, o = one(p, "gold", "gold"), one(p, "calls", "predicted").drop("run", "query")
+    on = F.expr("g.pred_id = o.pred_id and g.name <=> o.name and g.nth = o.nth and g.key = o.key")
+    j = g.alias("g").join(o.alias("o"), on, "left").select("g.*", "predicted", "predicted_json")
+    k = F.when(F.col("gold_json") == F.col("predicted_json"), None).otherwise(F.coalesce(error_class(F.col("gold"), F.col("predicted"), F.coalesce("query", F.lit(""))), F.lit("P")))
+    return j.select("pred_id", "run", "nth", "name", "key", "gold", "predicted", k.alias("cls"))
+
+
 def latency(predictions: DataFrame, *by: str) -> DataFrame:
     """Per-sample latency: mean, exact P50 and P95 with linear interpolation."""
     ms = F.col("batch_latency_ms") / F.nullif(F.col("batch_size"), F.lit(0))

@@ -191,8 +191,15 @@ def _args(r: DataFrame) -> DataFrame:
     return c.select("rid", "pos", F.explode("m").alias("key", "v")).select("rid", "pos", "key", F.try_variant_get("v", "$", "string").alias("value"))
 
 
+def _verbatim(r: DataFrame) -> DataFrame:
+    """How many argument values the query holds as they are and how many not, for all keys."""
+    a = _args(r).join(r.select("rid", "query"), "rid").where("query is not null and value is not null")
+    return a.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.contains("query", "value")).alias("verbatim"), F.count_if(~F.contains("query", "value")).alias("transformed"))
+
+
 def _taxonomy(r: DataFrame) -> DataFrame:
-    """Argument values that the query does not hold as they are, by key (STR-26)."""
+    """Argument values that the query does not hold as they are, by key, of the keys that its SQL names; without a
+    prediction all are missing. argument_errors has all keys and classes of predictions (STR-26)."""
     a = _args(r).where(F.col("key").isin("city", "guest_name", "reference", "place_name")).join(r.select("rid", "query"), "rid").where("query is not null and value is not null")
     k = X.error_class(F.col("value"), F.lit(None).cast("string"), F.col("query"))
     return a.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.contains("query", "value")).alias("verbatim"), F.count_if(~F.contains("query", "value")).alias("transformed"), F.count_if(k == "I").alias("missing"))
@@ -258,6 +265,7 @@ def queries() -> dict[str, Query]:
         "argument_labels": rec(labels.argument_labels),
         "boolean_cues": rec(lambda r: r.select("rid", X.boolean_cue(F.col("query")).alias("cue"))),
         "error_taxonomy": rec(_taxonomy),
+        "verbatim_arguments": rec(_verbatim),
         "manifest_conformance": rec(lambda r: pairing.conformance(r.where("id is not null").select("id", "split"), r.where("id is not null").groupBy("id").agg(F.min("split").alias("split")))),
         "source_differences": on("records", "predictions")(lambda r, p: pairing.differences(r.where("split = 'test' and id is not null").select("id"), p.where("id is not null").select("id"))),
     }

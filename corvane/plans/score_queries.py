@@ -43,6 +43,12 @@ def _report(p: DataFrame) -> DataFrame:
     return reports.pivot_report(m, "run", "lang", ["en", "vi", "other"], F.format_number("exact_pct", 2))
 
 
+def _errors(p: DataFrame) -> DataFrame:
+    """Right, wrong, translated, partial and missing values of each gold argument, by run and key, without a key list."""
+    cls = F.col("cls")
+    return scoring.argument_errors(p).groupBy("run", "key").agg(F.count("*").alias("n"), F.count_if(cls.isNull()).alias("right"), *[F.count_if(cls == k).alias(c) for k, c in (("W", "wrong"), ("T", "transformed"), ("P", "partial"), ("I", "missing"))])
+
+
 def queries() -> dict[str, Query]:
     pred = on("predictions")
     return {
@@ -61,6 +67,7 @@ def queries() -> dict[str, Query]:
         "latency_by_tools": pred(lambda p: scoring.latency(p, "n_tools")),
         "class_scores": pred(lambda p: scoring.confusion_scores(_classes(p))),
         "macro_f1": pred(lambda p: scoring.macro_f1(scoring.confusion_scores(_classes(p)))),
+        "argument_errors": pred(_errors),
         "bootstrap_ci": pred(lambda p: scoring.bootstrap(scoring.scored(p).select("pred_id", F.col("exact").cast("double").alias("v")), "pred_id", "v")),
     }
 

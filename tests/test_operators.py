@@ -101,6 +101,20 @@ def test_unicode_query_keys(spark):
     assert len({split[2 * i] for i in range(4)}) == 1 and len(split) == 5
 
 
+def test_argument_errors(spark):
+    call = lambda name, args: f'<tool_call>{{"name": "{name}", "arguments": {args}}}</tool_call>'
+    gold = [("F", '{"note": "to the door", "city": "Hue", "day": "2030-01-02", "tags": ["a"], "n": 6, "gone": true, "same": {"b": 1, "a": 2}}'), ("f", '{"city": "Hue"}'), ("g", '"{\\"x\\": 1}"')]
+    out = call("f", '{"note": "door", "city": "Da Nang", "day": "3 Jan", "tags": ["b"], "n": "6", "same": {"a": 2.0, "b": 1}, "more": 1}') + call("f", '{"city": "Hue"}')
+    p = spark.createDataFrame([(1, "e0", "Bring 6 to the door in Hue", gold, out), (2, "e0", None, [("f", '{"city": "Hue"}')], None), (3, "e0", "q", [], out), (4, "e0", "q", None, out)], "pred_id long, run string, query string, gold array<struct<name: string, arguments: string>>, raw_output string")
+    got = rows(scoring.argument_errors(p).select("pred_id", "name", "nth", "key", "cls"))
+    assert got == [(1, "f", 1, k, c) for k, c in (("city", "W"), ("day", "T"), ("gone", "I"), ("n", "P"), ("note", "P"), ("same", None), ("tags", "T"))] + [(1, "f", 2, "city", None), (1, "g", 1, "x", "I"), (2, "f", 1, "city", "I")]
+
+
+def test_verbatim_arguments(spark):
+    r = table(spark, [{"rid": 1, "query": "2 in Hue", "function_calls": [("f", '{"city": "Hue", "size": 2, "memo": "m"}')]}])
+    assert rows(record_queries._verbatim(r)) == [("city", 1, 1, 0), ("memo", 1, 0, 1), ("size", 1, 1, 0)]
+
+
 def test_priorities_and_leakage(spark):
     df = spark.createDataFrame([(1, "k", "train"), (2, "k", "test"), (3, "m", "train"), (4, None, "train"), (5, "k", "test")], "rid int, key string, split string")
     assert [r[0] for r in rows(dedup.keep_highest_split(df, "key").select("rid"))] == [2, 3, 4, 5]
