@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import dedup, labels, pairing, pool, records, reports, retrieval, sampling, scoring, split
-from corvane.plans import record_queries
+from corvane.plans import record_queries, vector_queries
 from tests.fixtures import records as table
 from tests.fixtures import rows, tool
 
@@ -123,6 +123,15 @@ def test_priorities_and_leakage(spark):
     assert rows(dedup.priority_union([a, b], "name", "o").select("name", "v")) == [("x", 2), ("y", 3)]
 
 
+def test_bm25_of_words_in_any_script(spark):
+    texts = ["забронируй столик в ресторане", "погода в городе", "đặt bàn ở Huế", "đạt bán", "dat ban", "\uff22ook 7", None, "..."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    i = spark.createDataFrame([(1, "Столик в РЕСТОРАНЕ"), (2, "đặt bàn"), (3, "book 7"), (4, "da\u0323t ba\u0301n")], "item_id long, text string")
+    got = rows(vector_queries._bm25_words(i, d).select("q", "rank", "d"))
+    assert got == [(1, 1, 0), (1, 2, 1), (2, 1, 2), (3, 1, 5), (4, 1, 3)]
+    assert vector_queries._bm25(i, d).where("q = 1").count() == 0
+
+
 @pytest.mark.parametrize("block", [50_000, 20])
 def test_greedy_split_keeps_ratios(spark, block):
     g = spark.createDataFrame([(f"g{i}", "s" if i % 3 else "t", 1 + i % 4) for i in range(300)], "grp string, stratum string, size int")
