@@ -150,6 +150,8 @@ def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str
         for s in strings(value):
             form = consistent(s)
             if len(form) < 8 and len(line) > 16:
+                if is_refusal(form):
+                    out.add("refusal")
                 continue
             ws = words(form)
             if own and 2 * sum(map(len, ws)) >= len(own):
@@ -159,11 +161,10 @@ def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str
                 if 2 * len(text) >= len(line) and frame.adds_nothing(text) and ws == own:
                     out.add("copy")
                     continue
-            if len(ws) >= SENTENCE_WORDS:
-                if is_refusal(form):
-                    out.add("refusal")
-                else:
-                    foreign.append(form)
+            if is_refusal(form):
+                out.add("refusal")
+            elif len(ws) >= SENTENCE_WORDS:
+                foreign.append(form)
     return out, foreign
 
 

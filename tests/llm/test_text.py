@@ -184,6 +184,12 @@ def test_refusals(text, yes):
     assert defects.is_refusal(text) is yes
 
 
+@pytest.mark.parametrize("value, found", [("I must decline.", {"refusal"}), ("Je refuse.", {"refusal"}), ("Tôi từ chối.", {"refusal"}), ("Hue", set()), ("two rooms", set())])
+def test_short_refusals(value, found):
+    out, foreign = defects.answer_defects("A room in the old town of Hue for two nights", [{"name": "f", "arguments": json.dumps({"note": value})}])
+    assert (out, foreign) == (found, [])
+
+
 MODEL = None
 
 
