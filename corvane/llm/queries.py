@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "p2_queries": _on("records", lookalikes.consistent_queries),
         "p3_found": _on("records", crosssplit.pairs),
         "p3_report": _on("records", crosssplit.report),
+        "p3_coverage": _on("records", crosssplit.coverage),
+        "p3_pair_counts": _on("records", crosssplit.pair_counts),
         "p4_found": lambda spark, d: langid.found(spark, *(table(spark, d, t) for t in ("records", "documents", "eval_items"))),
         "p4_segments": lambda spark, d: langid.languages(spark, table(spark, d, "records"), _model(spark, d)).select("rid", "field", "pos", "lang", "confidence"),
         "p5_found": _on("records", nearcopies.pairs),

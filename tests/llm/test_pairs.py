@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import crosssplit, nearcopies, splits
@@ -106,6 +107,7 @@ def test_circulant_estimate_of_similarity():
 
 def test_seeds_are_lossless():
     rnd = random.Random(8)
+    counts = np.random.default_rng(8).integers(0, 5, crosssplit.SKETCH).astype(np.int32)
     for _ in range(200):
         a = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(1, 40))]
         b = list(a)
@@ -117,8 +119,11 @@ def test_seeds_are_lossless():
             b = c
             if rnd.random() < 0.3:
                 break
-        order = {w: (rnd.randrange(5), crosssplit.rolling(w)) for w in sorted(set(a) | set(b))}
-        assert jac(set(a), set(b)) < 0.75 or crosssplit.select_seeds(a, order) & crosssplit.select_seeds(b, order)
+        offsets, h = crosssplit.select_seeds(pa.array([" ".join(a), "", " ".join(b)]), counts)
+        x, y = set(h[: offsets[1]].tolist()), set(h[offsets[2] :].tolist())
+        n = len(set(a))
+        assert len(x) == n - -(-n * 3 // 4) + 1
+        assert jac(set(a), set(b)) < 0.75 or x & y
 
 
 def test_chains():
@@ -137,7 +142,28 @@ def test_report(spark):
     assert rows(crosssplit.report(records(spark, data))) == [("test", "s", 1, 1, 0, None), ("val", "s", 1, 0, 1, 0.8889)]
 
 
-@pytest.mark.parametrize("f", [nearcopies.pairs, crosssplit.pairs, splits.groups, nearcopies.near_groups, crosssplit.report, splits.balanced_splits])
+def test_coverage_and_pair_counts(spark):
+    q = "one two three four five six seven eight"
+    data = [{"rid": i, "id": "a", "split": "train", "source": "s" if i < 3 else None, "query": q} for i in range(4)]
+    data += [{"rid": 10, "id": "b", "split": "val", "source": "s", "query": q + " nine"}, {"rid": 11, "id": "a", "split": "val", "source": "s", "query": "other"}]
+    r = records(spark, data)
+    assert rows(crosssplit.coverage(r)) == [(10, "val", "s", 4, 0.8889)]
+    assert rows(crosssplit.pair_counts(r)) == [("val", "s", "s", 1, 3, 3), ("val", "s", None, 1, 1, 1)]
+
+
+def test_hot_keys_are_cut_into_blocks(spark, monkeypatch):
+    from corvane.llm import hotkeys
+
+    monkeypatch.setattr(hotkeys, "SIDE", 3)
+    data = [(i, k, i % 3 == 0) for k in ("hot", "warm") for i in range(20 if k == "hot" else 2)] + [(99, "lone", True)]
+    df = spark.createDataFrame(data, "rid long, key string, left boolean")
+    got = rows(hotkeys.within(df, "key", "rid").select("a.key", "a.rid", "b.rid"))
+    assert got == sorted((k, i, j) for k, n in (("hot", 20), ("warm", 2)) for i in range(n) for j in range(i + 1, n))
+    got = rows(hotkeys.between(df, "left", "not left", "key", "rid").select("a.key", "a.rid", "b.rid"))
+    assert got == sorted((k, i, j) for k, n in (("hot", 20), ("warm", 2)) for i in range(n) for j in range(n) if i % 3 == 0 and j % 3)
+
+
+@pytest.mark.parametrize("f", [nearcopies.pairs, crosssplit.pairs, splits.groups, nearcopies.near_groups, crosssplit.coverage, crosssplit.pair_counts, crosssplit.report, splits.balanced_splits])
 def test_empty_table(spark, f):
     assert f(records(spark, [])).count() == 0
 
