@@ -181,25 +181,30 @@ class Overlaps:
     pairs: DataFrame
 
 
-def overlaps(base: DataFrame) -> Overlaps:
-    """The classes of equal queries and calls on either side, and the pairs of classes above the similarity."""
+def overlaps(base: DataFrame, with_seeds: bool = False) -> Overlaps:
+    """The classes of equal queries and calls on either side, and the pairs of classes above the similarity; the shared
+    fingerprints of a pair only if they are asked for."""
     lines = base.where("line <> ''")
     c = cut(lines.where("side is not null").groupBy("side", "line", "calls").agg(F.min("rid").alias("cid"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1")))
     members = lines.join(c, ["side", "line", "calls"]).select("rid", "side", "cid")
-    s = seeds(c.select("cid", "side", "calls", "n", "b0", "b1", "line"), count_sketch(lines))
-    s = cut(s.select("side", "cid", "n", "b0", "b1", "pos", "seed", F.xxhash64("seed", "calls").alias("key")))
+    s = seeds(c.select("cid", "side", "calls", "n", "line"), count_sketch(lines))
+    s = cut(s.select("side", "cid", "n", "pos", *(["seed"] if with_seeds else []), F.xxhash64("seed", "calls").alias("key")))
     n, m = F.col("t.n"), F.col("e.n")
     # the least common word of a pair has behind it all others that the two can share
     follows = F.least(n - F.col("t.pos"), m - F.col("e.pos"))
-    enough = (follows * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6) & may_reach(SIMILARITY, (n, m), (F.col("t.b0"), F.col("e.b0")), (F.col("t.b1"), F.col("e.b1")))
-    p = between(s, "side = 't'", "side = 'e'", "key", "cid", "t", "e").where(enough)
-    p = p.groupBy(F.col("t.cid").alias("cid_t"), F.col("e.cid").alias("cid_e")).agg(F.collect_set("t.seed").alias("seeds"))  # at most the fingerprints of one query
+    p = between(s, "side = 't'", "side = 'e'", "key", "cid", "t", "e").where(follows * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6)
+    ends = F.col("t.cid").alias("cid_t"), F.col("e.cid").alias("cid_e")
+    p = p.groupBy(*ends).agg(F.collect_set("t.seed").alias("seeds")) if with_seeds else p.select(*ends).distinct()  # a set holds at most the fingerprints of one query
+    bits = lambda x: c.where(f"side = '{x}'").select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n{x}"), F.col("b0").alias(f"u{x}"), F.col("b1").alias(f"v{x}"))
+    col = lambda x: (F.col(f"{x}t"), F.col(f"{x}e"))
+    keep = ["cid_t", "cid_e", *(["seeds"] if with_seeds else [])]
+    p = p.join(bits("t"), "cid_t").join(bits("e"), "cid_e").where(may_reach(SIMILARITY, col("n"), col("u"), col("v"))).select(*keep)
     ct = c.where("side = 't'").select(F.col("cid").alias("cid_t"), F.col("line").alias("lt"), F.col("calls").alias("kt"))
     ce = c.where("side = 'e'").select(F.col("cid").alias("cid_e"), F.col("line").alias("le"), F.col("calls").alias("ke"))
     wt, we = F.array_distinct(F.split("lt", " ")), F.array_distinct(F.split("le", " "))
     p = p.join(ct, "cid_t").join(ce, "cid_e").where("kt = ke").withColumn("both", F.size(F.array_intersect(wt, we)))
     p = p.withColumn("similarity", F.col("both") / (F.size(wt) + F.size(we) - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
-    return Overlaps(members, c, cut(p.select("cid_t", "cid_e", "similarity", "seeds")))
+    return Overlaps(members, c, cut(p.select(*keep, "similarity")))
 
 
 def covered(o: Overlaps) -> DataFrame:
@@ -230,7 +235,7 @@ def coverage(records: DataFrame) -> DataFrame:
     """(rid, split, source, n_partners, cover): one row for each val or test record with a near-same train record: how
     many those are, and the largest share of its words, in the order of the text, that the chain of one covers."""
     base = _sided(records)
-    o = overlaps(base)
+    o = overlaps(base, with_seeds=True)
     members = cut(o.members)
     size = members.where("side = 't'").groupBy(F.col("cid").alias("cid_t")).agg(F.count("*").alias("k"))
     best = covered(o).join(size, "cid_t").groupBy(F.col("cid_e").alias("cid")).agg(F.sum("k").alias("n_partners"), F.round(F.max("cover_e"), 4).alias("cover"))
@@ -242,7 +247,7 @@ def report(records: DataFrame) -> DataFrame:
     """(split, source, n_records, n_same_id, n_near, mean_cover) of the val and test records: how many have a train
     record of the same id, how many a near-same one, and the mean share of those that its best chain covers."""
     base = _sided(records)
-    o = overlaps(base)
+    o = overlaps(base, with_seeds=True)
     best = covered(o).groupBy(F.col("cid_e").alias("cid")).agg(F.max("cover_e").alias("cover"))
     near = o.members.where("side = 'e'").join(best, "cid").select("rid", "cover")
     same = base.where("side = 't' and id is not null").select("id").distinct().withColumn("same", F.lit(1))
