@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "p5_groups": _on("records", nearcopies.near_groups),
         "p7_found": _on("records", splits.groups),
         "p7_splits": _on("records", splits.balanced_splits),
+        "p7_shares": _on("records", splits.split_shares),
         "p8_pack": _on("documents", packing.pack),
         "p8_containers": _on("documents", packing.containers),
         "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),

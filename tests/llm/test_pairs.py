@@ -214,6 +214,18 @@ def test_balance_and_whole_groups(spark, block):
     assert abs(n["test"] - 300) < 75 and abs(n["validation"] - 300) < 75
 
 
+def test_few_groups_are_differenced_too(spark):
+    weights = np.array([155, 136, 87, 84, 64, 61, 60, 54, 54, 47, 47, 45, *range(1, 24)], np.float64)
+    loads = [weights[b].sum() for b in splits.differencing(weights, 10)]  # fewer bins than groups: extremes are combined
+    assert max(loads) <= weights.max() and min(loads) >= 0.5 * weights.max()
+    part, _ = splits.nearest_split(weights)
+    got = {s: sum(w for w, p in zip(weights, part) if p == s) / weights.sum() for s in splits.SHARES}
+    assert all(abs(got[s] - v) < 0.01 for s, v in splits.SHARES.items())
+    data = [{"rid": i * 100 + j, "source": "s", "tools": [tool(f"t{i}")]} for i, w in enumerate(weights) for j in range(int(w) // 2)]
+    n = {r["part"]: r["share"] for r in splits.split_shares(records(spark, data)).collect()}
+    assert all(abs(n[s] - v) < 0.02 for s, v in splits.SHARES.items())
+
+
 def test_differencing_is_balanced():
     w = np.random.default_rng(1).integers(1, 100, 500)
     bins = splits.differencing(w, 20)
