@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.textform import consistent
@@ -103,11 +104,11 @@ def label_of(c: Column) -> Column:
 
 
 def train(documents: DataFrame, items: DataFrame) -> np.ndarray:
-    """Fit on the bounded sample; see above."""
-    ids = documents.select("doc_id", label_of(F.col("lang")).alias("label")).where(F.col("label").isin(*LANGS))
-    keep: list[int] = []
-    for lang in LANGS:
-        keep += [r[0] for r in ids.where(F.col("label") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCS_PER_LABEL).select("doc_id").collect()]
+    """Fit on the bounded sample; see above. One pass over keys and labels, one over the texts of the sample."""
+    ids = documents.select("doc_id", label_of(F.col("lang")).alias("label")).where(F.col("label").isin(*LANGS) & F.col("doc_id").isNotNull())
+    # the limit of each label is taken within every partition before anything is shuffled
+    nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    keep = [r[0] for r in ids.withColumn("nth", nth).where(F.col("nth") <= DOCS_PER_LABEL).select("doc_id").collect()]
     rows = documents.where(F.col("doc_id").isin(keep)).select("text", label_of(F.col("lang")).alias("label")).union(items.orderBy("item_id").limit(5000).select("text", label_of(F.col("lang")))).collect()
     return fit_rows([(r[0], r[1]) for r in rows])
 
