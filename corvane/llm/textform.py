@@ -25,7 +25,7 @@ TO_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyx", "АВЕКМНОРСТУХаеор
 GREEK_TO_CYRILLIC = {g: TO_CYRILLIC[x] for g, x in GREEK.items() if x in TO_CYRILLIC}
 
 # Code point ranges, both ends included.
-INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0)]
+INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 CONTROL = [(0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F)]
 BLANK = [(0x09, 0x09), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 FULL_WIDTH = [(0xFF01, 0xFF5E)]
@@ -34,11 +34,30 @@ _PLAIN = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
 _SENTENCE = re.compile(r"[^.!?…\n\r]+")
 _WORD = re.compile(r"[^\W_]+")
+# Blocks that common text is written in; what lies outside them always counts as suspect.
+_COMMON = [(0x20, 0x7E), (0x0A, 0x0D), (0xA1, 0x24F), (0x1E00, 0x1EFF), (0x2010, 0x205E), (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x3001, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF)]
+
+
+def _own_form(c: int) -> bool:
+    """Whether a code point stays as it is, whatever stands beside it: not in the tables, stable under NFC, of no script
+    that has look-alikes."""
+    x = chr(c)
+    return not (_PLAIN.match(x) or _NONLATIN.match(x) or unicodedata.combining(x) or unicodedata.category(x)[0] in "MC" or not unicodedata.is_normalized("NFC", x))
+
+
+def _suspect() -> str:
+    ranges: list[list[int]] = []
+    for c in (c for a, b in _COMMON for c in range(a, b + 1)):
+        if c in (0x0A, 0x0D) or _own_form(c):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges if b - a > 3 or b < 0x100) + "]"
+
+
 #: Java pattern of every text whose consistent form may differ from it; texts without a match are their own form.
-SUSPECT = (
-    "[\\p{M}\\p{Cf}\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\t\\u00a0\\u115f\\u1160\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000\\u3164\\uff01-\\uff5e\\uffa0"
-    "\\p{IsGreek}\\p{IsCyrillic}\\u0340\\u0341\\u0343\\u0344\\u2126\\u212a\\u212b\\uf900-\\ufaff\\ud800-\\udfff]"
-)
+SUSPECT = _suspect()
 
 
 _TABLE: dict[int, int | None] = {c: None for a, b in INVISIBLE + CONTROL for c in range(a, b + 1)}
