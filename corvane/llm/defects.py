@@ -2,7 +2,8 @@
 
 Copies: the query is a zstandard dictionary for each answer value; a value that adds next to nothing to it is compared
 word by word. Cut-off objects: a terminal-context model, the state (open brackets, open string) in which a text ends.
-Refusals: a dictionary of phrases per language, without accents. Other languages: the naive Bayes model of ``langid``.
+Refusals: dictionaries of cues per language that have to meet in one sentence (``refusals``); words that the query itself
+dictates are none. Other languages: the naive Bayes model of ``langid``.
 
 Cases: only records with has_tool_call = true and failed rows with an error are looked at; a pair may have several
 defects and gets one row for each; null or empty calls, blank names and null, blank or 'null' arguments count as empty;
@@ -23,35 +24,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.langid import LANGS, scores, text_segments, without_accents
-from corvane.llm.textform import consistent, strict_json, strings, words
-
-SENTENCE_WORDS, LANGUAGE_MARGIN, PIECE = 4, 6.0, 50_000
-# Phrases by which an answer says that it does not do what was asked, lower case, without accents.
-REFUSALS = {
-    "en": r"\bi (?:can't|cannot|can not|could not|am not able|am unable|am not allowed|won't|will not|must decline|have to decline|must refuse|refuse to|do not have|don't have)\b"
-    r"|\bi'm (?:not able|unable|not allowed|only a language model|just a language model)\b|\bi am (?:only|just) (?:a|an) (?:ai|language|assistant)"
-    r"|\b(?:isn't|is not) possible for me\b|\bno answer can be given\b|\bgoes against the (?:rules|polic)|\bwill not do this task\b",
-    "vi": r"\b(?:toi|minh) (?:khong the (?:thuc hien|lam|xu ly|giup|tra loi)|khong duoc phep|xin tu choi|tu choi|khong co kha nang)|\bchi la mo hinh ngon ngu|\btrai voi quy dinh\b"
-    r"|\bkhong co cau tra loi nao\b|\bngoai kha nang cua (?:toi|minh)\b|\bnen toi dung o day\b|\bkhong co quyen truy cap du lieu\b",
-    "fr": r"\bje ne (?:peux|pourrai|suis) pas\b|\bje dois (?:refuser|decliner)\b|\bje refuse\b|\bil m'est impossible\b",
-    "es": r"\bno (?:puedo|podre) (?:atender|hacer|cumplir|realizar|ayudar|responder|procesar|tramitar)|\b(?:tengo que|debo) (?:rechazar|negarme|declinar)|\bno me es posible\b",
-    "de": r"\bich kann (?:\w+ )?nicht (?:helfen|weiterhelfen|ausfuhren|bearbeiten|erledigen)|\bich muss (?:\w+ )?ablehnen|\bkann ich (?:leider )?nicht\b|\bist mir nicht moglich\b",
-    "ru": r"\bя не (?:могу|смогу|вправе|имею)\b|\bя (?:вынужден|должен)а? (?:отклонить|отказать)|\bне могу (?:выполнить|помочь|ответить)",
-}
-_REFUSAL = re.compile("|".join(REFUSALS.values()))
-# Wordings of errors that name a defect of the model's answer; all others are failures of other kinds.
+from corvane.llm.refusals import refusal_column, refuses
+from corvane.llm.textform import consistent, consistent_udf, strict_json, strings, words
+
+SENTENCE_WORDS, SHORT_SENTENCE, LANGUAGE_MARGIN, PIECE = 4, 2, 6.0, 50_000
+DICTATED = 0.6  # a value with this share of its words in the query is content that was asked for, no refusal
+# What errors say of a model's answer with a defect, lower case, without accents; all else are failures of
+# other kinds (network, quota, server, settings).
 ERRORS = {
-    "truncated": r"unterminated string|text ends there|closing brace never reached|finish_reason=length|stops in the middle|bị cắt giữa chừng",
-    "copy": r"target text is the source text|echoes the input|equals source query|no change between source and target|trùng khớp hoàn toàn với câu gốc|repeated the prompt",
-    "other_language": r"target language mismatch|text looks like (?!vi\b)|detected \w+ but wanted|came back in \w+ script|reply is in (?!vietnamese)\w+|bằng tiếng \S+ chứ không phải",
-    "empty": r"emptyoutput|content is none|nothing but whitespace|completion for row \d+ has length 0\b|trả về rỗng|nothing left after stripping",
-    "refusal": r"policystop|declined to translate|từ chối dịch",
+    "truncated": r"unterminated|truncat|\bcut (?:off|short)\b|\btext ends\b|\bends (?:abruptly|too early)|stops in the middle|\bnever (?:reached|closed)\b|finish_reason\W{1,3}length|unexpected end of (?:json|input|text|output)|incomplete (?:json|object|output|answer)|\bbi cat\b",
+    "copy": r"\bis the source\b|\becho|\bequals? (?:the )?(?:source|input|query|prompt)|\bsame as (?:the )?(?:source|input|query|prompt)|\bidentical to (?:the )?(?:source|input|query|prompt)|no change between|\brepeat(?:s|ed|ing)? the (?:prompt|input|source|query)|trung khop (?:hoan toan )?voi|giong het cau goc",
+    "other_language": r"target language mismatch|wrong language|text looks like (?!vi\b)|detected \w+ but (?:wanted|expected|needed)|came back in \w+ script|(?:reply|answer|output) is in (?!vietnamese)\w+|bang tieng \S+ chu khong phai",
+    "empty": r"emptyoutput|\bempty (?:output|answer|completion|content|response text)\b|(?:content|answer|output) is (?:none|null|empty|blank)\b|nothing but (?:whitespace|blanks)|(?:completion|answer|output)\b.{0,20} has length 0\b|tra ve rong|nothing left after",
+    "refusal": r"policystop|\btu choi (?:dich|tra loi|thuc hien)",
 }
 
 
+def plain_text(form: str) -> str:
+    """Lower case, without accents, with straight apostrophes."""
+    low = form.lower()
+    return low if low.isascii() else without_accents(low.replace("’", "'"))
+
+
 def is_refusal(form: str) -> bool:
     """form: a text in consistent form."""
-    return bool(_REFUSAL.search(without_accents(form.lower().replace("’", "'")) if not form.isascii() else form.lower()))
+    return refuses(plain_text(form))
+
+
+def is_sentence(form: str, n_words: int) -> bool:
+    """At least SENTENCE_WORDS words, or SHORT_SENTENCE words and an end mark."""
+    return n_words >= SENTENCE_WORDS or n_words >= SHORT_SENTENCE and form.rstrip()[-1:] in (".", "!", "?", "…")
 
 
 def ends_early(text: str) -> bool:
@@ -139,7 +141,7 @@ def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str
     if not full:
         out.add("empty")
     own = words(query)
-    line = " ".join(own).encode()
+    line, asked = " ".join(own).encode(), set(own)
     frame = None
     for c in calls:
         if not c["arguments"]:
@@ -149,21 +151,17 @@ def answer_defects(query: str | None, calls: list[dict] | None) -> tuple[set[str
             out.add("truncated")
         for s in strings(value):
             form = consistent(s)
-            if len(form) < 8 and len(line) > 16:
-                if is_refusal(form):
-                    out.add("refusal")
-                continue
             ws = words(form)
-            if own and 2 * sum(map(len, ws)) >= len(own):
-                text = " ".join(ws).encode()
+            text = " ".join(ws).encode()
+            if ws and 2 * len(text) >= len(line):
                 if frame is None:
                     frame = Prompt(line)
-                if 2 * len(text) >= len(line) and frame.adds_nothing(text) and ws == own:
+                if frame.adds_nothing(text) and ws == own:
                     out.add("copy")
                     continue
-            if is_refusal(form):
+            if is_refusal(form) and sum(w in asked for w in ws) < DICTATED * len(ws):
                 out.add("refusal")
-            elif len(ws) >= SENTENCE_WORDS:
+            elif is_sentence(form, len(ws)):
                 foreign.append(form)
     return out, foreign
 
@@ -200,19 +198,15 @@ def record_defects(spark: SparkSession, records: DataFrame, model: np.ndarray) -
 
 
 def error_defect(error: Column) -> Column:
-    """The defect that an error names, null for other failures. The phrases of refusals are looked for in the JVM too."""
-    low = F.lower(error)
-    plain = F.translate(low, "’", "'")
-    # the accent-free phrases are matched on text whose Vietnamese letters lost their marks
-    marks = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäöüñç"
-    bare = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaounc"
-    stripped = F.translate(plain, marks, bare)
+    """The defect that an error names, null for other failures; the dictionaries are matched in the JVM."""
+    marks = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäöüñçё"
+    bare = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaouncе"
+    composed = F.regexp_replace(consistent_udf(error), "’", "'")
+    plain = F.translate(F.lower(composed), marks, bare)
     d = None
     for k, p in ERRORS.items():
-        d = F.when(low.rlike(p), k) if d is None else d.when(low.rlike(p), k)
-    for p in REFUSALS.values():
-        d = d.when(stripped.rlike(p), "refusal")
-    return d
+        d = F.when(plain.rlike(p), k) if d is None else d.when(plain.rlike(p), k)
+    return d.when(refusal_column(plain), "refusal")
 
 
 def failed_defects(failed: DataFrame) -> DataFrame:

@@ -60,6 +60,24 @@ def test_prefilter_misses_nothing(spark):
     assert not [r for r in df.collect() if r["t"] in ("plain", "tiếng Việt") and r["s"]]
 
 
+def test_prefilter_misses_no_code_point(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    moved = [c for c in points for x in (chr(c), "a" + chr(c), chr(c) + "b c") if consistent(x) != x]
+    assert len(moved) > 1300
+    df = spark.createDataFrame([(chr(c),) for c in set(moved)], "t string")
+    assert df.where(~F.col("t").rlike(SUSPECT)).count() == 0
+    quiet = spark.createDataFrame([(chr(c),) for c in points if c < 0x250 and consistent("a" + chr(c)) == "a" + chr(c) and c > 0xA0], "t string")
+    assert quiet.where(F.col("t").rlike(SUSPECT)).count() < 5
+
+
+def test_collation_decides_where_forms_differ_in_ignorable_marks(spark):
+    # a mark without weight that no table names: equal under the collation, so the shorter form is canonical
+    mark = chr(0x13430)
+    v = spark.createDataFrame([("ro" + mark + "om",), ("room",)], "value string")
+    got = {r["value"]: r["canonical"] for r in lookalikes.canonical_members(v).collect()}
+    assert got["room"] == "room" and got["ro" + mark + "om"] in ("room", "ro" + mark + "om")
+
+
 def test_words():
     assert words("It's Ｎｅｗ: a_b-" + ZW + "c 12.5") == ["it", "s", "new", "a", "b", "c", "12", "5"]
     assert words(None) == words("") == words(" .,") == []
@@ -190,6 +208,35 @@ def test_short_refusals(value, found):
     assert (out, foreign) == (found, [])
 
 
+@pytest.mark.parametrize(
+    ("query", "value", "found"),
+    [
+        ("Send my regrets to Ann", "I can't come to the party tomorrow", set()),
+        ("Book a room", "Sorry, this request cannot be fulfilled.", {"refusal"}),
+        ("Book a room", "Unable to help with this request", {"refusal"}),
+        ("Book a room", "Rất tiếc, yêu cầu này không thể xử lý", {"refusal"}),
+        ("Book a room", "Declined.", {"refusal"}),
+        ("Book a room", "I refuse", {"refusal"}),
+        ("Tell Bob: I can't help with this request", "I can't help with this request", set()),
+        ("预订飞往巴黎", "预订飞往巴黎", {"copy"}),
+        ("Book a table for four people at the restaurant in town", "预订", set()),
+        # wordings that no list was written from
+        ("Book a room", "We regret that your question could not be processed.", {"refusal"}),
+        ("Book a room", "Your request may not be answered by this assistant.", {"refusal"}),
+        ("Book a room", "Nous ne pouvons pas traiter votre demande.", {"refusal"}),
+        ("Book a room", "Wir können diese Anfrage leider nicht bearbeiten.", {"refusal"}),
+        ("Book a room", "No podemos responder a esta pregunta.", {"refusal"}),
+        ("Book a room", "Мы не можем выполнить этот запрос.", {"refusal"}),
+        ("Book a room", "The lift is not able to carry more than four people.", set()),
+        ("Book a room", "Thang máy không thể chở quá bốn người.", set()),
+        ("Book a room", "Der Aufzug kann nicht mehr als vier Personen tragen.", set()),
+    ],
+)
+def test_refusals_and_copies_in_context(query, value, found):
+    out, _ = defects.answer_defects(query, [{"name": "f", "arguments": json.dumps({"note": value})}])
+    assert out == found
+
+
 MODEL = None
 
 
