@@ -8,6 +8,7 @@ names, values and array elements are then spans between those marks, and each va
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ class Index:
     """One entry per value. parent: index of the holding value, -1 for a whole text. name: member name, None for others.
 
     pos: place in an array or -1; kind: first byte of the value; text: which input text; depth: 0 for a whole text.
-    start, end: byte span of scalars and strings (end is 0 for containers)."""
+    start, end: byte span of the value in data."""
 
     parent: np.ndarray
     name: list[str | None]
@@ -27,19 +28,55 @@ class Index:
     text: np.ndarray
     depth: np.ndarray
     start: np.ndarray
+    end: np.ndarray
     data: bytes
 
+    def raw(self, i: int) -> str:
+        """The JSON text of value i."""
+        return self.data[int(self.start[i]) : int(self.end[i])].decode("utf-8", "surrogatepass")
+
+
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
+
+
+def strict_without_recursion(text: str) -> bool:
+    """Strict JSON at any depth: a walk over tokens with a stack of open brackets."""
+    stack: list[str] = []
+    want = "value"  # value, first (of an array), key, first key, colon, next
+    at = 0
+    while m := _TOKEN.match(text, at):
+        at = m.end()
+        mark = m[1] or ""
+        if want in ("value", "first") and mark in ("", "{", "["):
+            if mark:
+                stack.append(mark)
+                want = "first key" if mark == "{" else "first"
+            else:
+                want = "next"
+        elif want == "first" and mark == "]" or want == "first key" and mark == "}" or want == "next" and stack and mark == {"{": "}", "[": "]"}[stack[-1]]:
+            stack.pop()
+            want = "next"
+        elif want in ("key", "first key") and m[2]:
+            want = "colon"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want == "next" and stack and mark == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        else:
+            return False
+    return want == "next" and not stack and not text[at:].strip(" \t\n\r")
+
 
 def _valid(text: str) -> bool:
     def bad(x: str):
         raise ValueError(x)
 
     try:
-        json.loads(text, parse_constant=bad)
+        json.loads(text, parse_constant=bad, parse_int=float)  # float: digits without end are valid too
     except ValueError:
         return False
     except RecursionError:
-        return text.count("{") == text.count("}") and text.count("[") == text.count("]")
+        return strict_without_recursion(text)
     return True
 
 
@@ -125,4 +162,23 @@ def index(texts: list[str]) -> Index:
     for i, x, y in zip(mm.tolist(), lo.tolist(), hi.tolist()):
         s = data[x:y]
         name[i] = json.loads(b'"' + s + b'"') if b"\\" in s else s.decode("utf-8", "surrogatepass")
-    return Index(parent, name, pos, b[start], text, level, start, data)
+    return Index(parent, name, pos, b[start], text, level, start, _ends(b, start, opens, closes, depth, comma, q_open, q_close), data)
+
+
+def _ends(b, start, opens, closes, depth, comma, q_open, q_close) -> np.ndarray:
+    """The place after each value: its closing bracket or quote, else the next mark or blank."""
+    end = np.zeros(len(start), np.int64)
+    marks = np.flatnonzero(opens | closes)
+    # within a level brackets open and close in turn
+    order = np.lexsort((marks, depth[marks] + closes[marks]))
+    first, last = marks[order][0::2], marks[order][1::2]
+    by = np.argsort(first, kind="stable")
+    first, last = first[by], last[by]
+    kind = b[start]
+    box, quoted = (kind == 123) | (kind == 91), kind == 34
+    end[box] = last[np.searchsorted(first, start[box])] + 1
+    end[quoted] = q_close[np.searchsorted(q_open, start[quoted])] + 1
+    stop = np.unique(np.r_[np.flatnonzero(closes), comma, np.flatnonzero((b == 32) | (b == 9) | (b == 10) | (b == 13)), len(b)])
+    bare = ~box & ~quoted
+    end[bare] = stop[np.searchsorted(stop, start[bare])]
+    return end
