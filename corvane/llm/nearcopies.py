@@ -2,8 +2,8 @@
 
 Circulant MinHash: one permutation scatters the words over a circle of 2^20 places, a second one is shifted around it;
 coordinate k of the signature is the least shifted value over the words of a text, so two permutations yield all
-coordinates. BANDS bands of ROWS coordinates, each joined to a tool name of the record, give the candidates; every
-candidate is verified by the exact similarity of its words and the exact overlap of its tools.
+coordinates. BANDS bands of ROWS coordinates that are met more than once, each joined to a tool name of the record, give
+the candidates; keys that many classes share are joined in blocks (``hotkeys``), and every candidate is verified by the exact similarity of its words and the exact overlap of its tools.
 
 A pair at similarity 0.75 shares a band with probability 1 - (1 - 0.75^5)^36 = 0.99994. Records with the same words and
 the same tools are one class before anything is hashed, so a group of copies costs one signature; a pair with tool
@@ -22,8 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from corvane.llm.hotkeys import within
 from corvane.llm.splits import tool_names
 from corvane.llm.textform import may_reach, word_set_udf
 from corvane.operators.graph import components
@@ -76,7 +76,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
     m = np.random.default_rng(7).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.int64).astype(np.uint64) * 2 + 1
     x = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros((len(sig), BANDS), np.uint64)
+    h = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))  # equal coordinates of two bands are no common band
     for r in range(ROWS):
         h = (h ^ (x[:, :, r] * m[None, :, r])) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
@@ -90,7 +90,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = b.slice(i, 4000)
             keys = band_keys(signatures(s.column("words").to_pylist(), circle))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([s.column("cid"), s.column("names"), flat], names=["cid", "names", "bands"])
+            yield pa.RecordBatch.from_arrays([s.column("cid"), flat], names=["cid", "bands"])
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,17 +105,12 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def class_pairs(c: DataFrame) -> DataFrame:
     """(cid_a, cid_b, similarity, overlap) of the classes above both thresholds, cid_a < cid_b."""
     head = F.expr("slice(names, 1, size(names) - cast(ceil(size(names) * 0.5) as int) + 1)")
-    k = (
-        c.mapInArrow(_bands, "cid long, names array<string>, bands array<long>")
-        .select("cid", F.explode(head).alias("tool"), F.col("bands"))
-        .select("cid", "tool", F.posexplode("bands").alias("band", "h"))
-        .select("cid", F.xxhash64("h", "band", "tool").alias("key"))
-    )
-    # one shuffle by key; keys that occur once end here, what is left is already in place for the join
-    w = W.partitionBy("key").orderBy("cid")
-    k = k.withColumn("before", F.lag("cid").over(w)).withColumn("behind", F.lead("cid").over(w)).where("before is not null or behind is not null").select("key", "cid")
-    k = cut(k)
-    p = k.alias("a").join(k.alias("b"), "key").where("a.cid < b.cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
+    sig = cut(c.mapInArrow(_bands, "cid long, bands array<long>"))
+    k = sig.select("cid", F.explode("bands").alias("band"))
+    # bands are counted map-side, whatever their size; nearly all are met once and end here, before tools multiply them
+    k = k.join(k.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "band", "left_semi")
+    k = k.join(c.select("cid", head.alias("tools")), "cid").select("cid", "band", F.explode("tools").alias("tool")).select("cid", F.xxhash64("band", "tool").alias("key"))
+    p = within(cut(k), "key", "cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
     bits = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n{x}"), F.col("b0").alias(f"u{x}"), F.col("b1").alias(f"v{x}"))
     texts = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("words").alias(f"w{x}"), F.col("names").alias(f"t{x}"))
     col = lambda x: (F.col(f"{x}a"), F.col(f"{x}b"))
@@ -141,8 +136,8 @@ def pairs(records: DataFrame) -> DataFrame:
     p = class_pairs(c).select("cid_a", "cid_b")
     ma, mb = members.select(F.col("cid").alias("cid_a"), F.col("rid").alias("x")), members.select(F.col("cid").alias("cid_b"), F.col("rid").alias("y"))
     between = p.join(ma, "cid_a").join(mb, "cid_b").select("x", "y")
-    within = ma.join(mb, F.col("cid_a") == F.col("cid_b")).where("x < y").select("x", "y")
-    return between.union(within).select(F.least("x", "y").alias("rid_a"), F.greatest("x", "y").alias("rid_b"))
+    copies = within(members, "cid", "rid").select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y"))
+    return between.union(copies).select(F.least("x", "y").alias("rid_a"), F.greatest("x", "y").alias("rid_b"))
 
 
 def near_groups(records: DataFrame) -> DataFrame:
