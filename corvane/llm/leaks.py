@@ -6,8 +6,9 @@ backwards at once; ranges that are left are located by walking to a sampled posi
 holds are merged into spans. Words that no item has can't be part of a phrase, so they end the text that is indexed, and
 stretches of fewer than PHRASE other words are left out of the index.
 
-The items are the query set: they are searched in blocks of BLOCK items, each of which goes to the workers as one table
-of word numbers and phrases. Cases: null or short texts and items hold no phrase; repeated items are found each; copies
+The items are the query set: they are searched in blocks of at most BLOCK items and BLOCK_POINTS code points (or one
+longer item), each of which goes to the workers as one table of word numbers and phrases. A shard has at most SHARD
+documents and SHARD_POINTS code points (or one longer document). Cases: null or short texts and items hold no phrase; repeated items are found each; copies
 of a document are documents of their own; null keys are left out; an empty table gives no rows.
 """
 
@@ -18,12 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.textform import words
 
 PHRASE, SAMPLE, BLOCK, SHARD = 12, 16, 20_000, 4_000
+BLOCK_POINTS, SHARD_POINTS = 4 << 20, 16 << 20  # code points of a block of items and of a shard
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -176,14 +179,27 @@ def shard_hits(texts: list[str | None], p: Phrases) -> list[tuple[int, int, int]
     return list(zip(row.tolist(), (place - begin[row]).tolist(), which.tolist()))
 
 
+def _shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of each shard of a batch."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    at, points = 0, 0
+    for i, n in enumerate(size):
+        if i > at and (points + n > SHARD_POINTS or i - at == SHARD):
+            yield at, i - at
+            at, points = i, 0
+        points += n
+    if len(size) > at:
+        yield at, len(size) - at
+
+
 def _search(block: Phrases, documents: DataFrame) -> DataFrame:
     share = documents.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = share.value
         for big in batches:
-            for i in range(0, big.num_rows, SHARD):
-                b = big.slice(i, SHARD)
+            for i, n in _shards(big.column("text")):
+                b = big.slice(i, n)
                 ids = b.column("doc_id").to_pylist()
                 out = [(ids[r], item, place) for r, place, ph in shard_hits(b.column("text").to_pylist(), p) for item in p.items[ph]]
                 cols = list(zip(*out)) if out else [(), (), ()]
@@ -195,7 +211,7 @@ def _search(block: Phrases, documents: DataFrame) -> DataFrame:
 def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, at): each phrase of PHRASE words of an item that a document holds, at a place in words."""
     rows = items.select("item_id", "text").where("item_id is not null").orderBy("item_id")
-    out, block = None, []
+    out, block, points = None, [], 0
 
     def search(block: list) -> None:
         nonlocal out
@@ -203,10 +219,12 @@ def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
         out = part if out is None else out.union(part)
 
     for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
+        n = len(r[1] or "")
+        if block and (len(block) == BLOCK or points + n > BLOCK_POINTS):
             search(block)
-            block = []
+            block, points = [], 0
+        block.append((r[0], r[1]))
+        points += n
     if block or out is None:
         search(block)
     return out
