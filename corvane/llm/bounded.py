@@ -27,8 +27,8 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(per), F.lit(0))).first()[0]
 
 
-def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, broadcast if it is measured to hold at most ``limit`` bytes; beyond that the same join is a shuffle.
+def few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is measured to hold at most BROADCAST_BYTES; beyond that the same join is a shuffle.
 
     df should be a table that was written, or its plan runs twice."""
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corvane.llm import leaks, packing, sharedspans
+from corvane.llm import bounded, leaks, packing, sharedspans
 from corvane.llm.textform import words
 from tests.fixtures import documents, items, rows
 
@@ -112,6 +113,8 @@ def brute9(docs, its):
 @pytest.mark.parametrize("block", [20_000, 7])
 def test_leaks_like_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(leaks, "BLOCK", block)
+    monkeypatch.setattr(leaks, "BLOCK_POINTS", block * 40)
+    monkeypatch.setattr(leaks, "SHARD_POINTS", 3000)
     rnd = random.Random(5)
     voc = [f"w{i}" for i in range(12)]
     its = [(i, " ".join(rnd.choice(voc) for _ in range(rnd.choice([5, 12, 30])))) for i in range(20)] + [(50, None), (51, "")]
@@ -178,7 +181,7 @@ def texts(seed, alphabet="abcdefghij k\n é😀"):
 
 @pytest.mark.parametrize(("seed", "few"), [(1, 200_000), (2, 0), (3, 200_000)])
 def test_spans_like_brute_force(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(sharedspans, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(bounded, "BROADCAST_BYTES", few)
     docs = texts(seed)
     d = documents(spark, [{"doc_id": a, "text": t} for a, t in docs])
     got = rows(sharedspans.shared_runs(d))
@@ -208,3 +211,16 @@ def test_chunks_do_not_depend_on_neighbours():
 
 def test_spans_empty(spark):
     assert sharedspans.shared_runs(documents(spark, [])).count() == 0 and sharedspans.shared_share(documents(spark, [{"doc_id": 1}])).collect()[0]["share"] == 0
+
+
+def test_measured_bytes(spark):
+    df = spark.createDataFrame([(1, "é" * 100, [1, 2], ["ab", None]), (None, None, None, None)], "a long, b string, c array<int>, d array<string>")
+    assert 300 < bounded.measured_bytes(df) < 600
+    assert bounded.measured_bytes(df.limit(0)) == 0
+
+
+def test_shards_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(leaks, "SHARD", 3)
+    monkeypatch.setattr(leaks, "SHARD_POINTS", 10)
+    assert list(leaks._shards(pa.array(["a", "b", "c", "d", None, "x" * 30, "y", "z" * 9]))) == [(0, 3), (3, 2), (5, 1), (6, 2)]
+    assert list(leaks._shards(pa.array([], pa.string()))) == []
