@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.functions.jsonx import as_schema_udf, object_keys, parameter_shapes_udf, parsed, schema_errors_udf
+from corvane.functions.jsonx import as_schema_udf, object_keys, parameter_errors_udf, parameter_shapes_udf, parsed, schema_errors_udf
 
 SOURCES = ("glaive", "xlam", "custom_vi")
 
@@ -93,34 +93,62 @@ def canonical_tools(tools: Column) -> Column:
 # ---- rule sets (PRD-02..08) -------------------------------------------------------------------------------------------
 
 
+def _first_of(rules: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(msg)) for bad, msg in rules]))
+
+
+def _some_name(items: Column, bad) -> Column:
+    return F.exists(items, lambda x: bad(x["name"]))
+
+
+def is_object(c: Column) -> Column:
+    """Whether JSON text, decoded once more if it was encoded twice, is an object."""
+    return F.coalesce(F.to_json(parsed(c)).startswith("{"), F.lit(False))
+
+
 def rule_errors(deep: bool = False, legacy: bool = False) -> Column:
-    """ARRAY<STRING> of the broken rules of a master record; [] for a good one. deep adds those inside JSON; legacy is
-    the older, stricter set, which also asks for a call in each record and a feature group for each tool."""
+    """ARRAY<STRING> of the broken rules of a master record; [] for a good one.
+
+    A record that lacks a part (id, source, query, calls, tools) is told only that. deep adds what is inside JSON: the
+    normalised schemas of tools at every depth, arguments that a schema does not declare or requires, keys that are not
+    snake_case. legacy is the older set: it knows no sources, asks for a call in each record and for a feature group of
+    each tool, and lets names repeat."""
     tool_names, call_names = names(F.col("tools")), names(F.col("function_calls"))
-    rules = [
-        (F.coalesce(F.trim("id"), F.lit("")) == "", "id: empty"),
-        (~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "source: unknown"),
-        (~F.coalesce(F.col("id").startswith(F.concat(F.col("source"), F.lit("_"))), F.lit(False)), "id: prefix is not the source"),
-        (F.coalesce(F.trim("query"), F.lit("")) == "", "query: empty"),
-        (F.col("function_calls").isNull(), "calls: null"),
-        (F.coalesce(F.size("tools"), F.lit(0)) <= 0, "tools: empty"),
-        (F.size(F.array_distinct(tool_names)) < F.size(tool_names), "tools: repeated name"),
-        (F.size(F.array_except(call_names, tool_names)) > 0, "calls: not in tools"),
-        (F.exists("function_calls", lambda c: ~F.coalesce(F.ltrim(c["arguments"]).rlike(r'^["{]'), F.lit(False))), "calls: arguments are no object"),
-    ]
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    odd = lambda n: ~X.is_snake_case(n)
+    unknown_call = (F.size(F.array_except(call_names, tool_names)) > 0, "calls: not in tools")
+    no_object = (F.exists("function_calls", lambda c: ~is_object(c["arguments"])), "calls: arguments are no object")
+    tool_name = (_some_name(F.col("tools"), odd), "tools: name not snake_case")
     if legacy:
-        rules += [
+        parts = [
+            (blank(F.col("id")), "id: empty"),
+            (blank(F.col("query")), "query: empty"),
             (F.coalesce(F.size("function_calls"), F.lit(0)) <= 0, "calls: empty"),
-            (F.exists("tools", lambda t: F.coalesce(F.trim(t["feature_group"]), F.lit("")) == ""), "tools: no feature group"),
+            (F.col("tools").isNull(), "tools: null"),
+        ]
+        rules = [unknown_call, no_object, tool_name, (F.exists("tools", lambda t: blank(t["feature_group"])), "tools: no feature group")]
+    else:
+        parts = [
+            (blank(F.col("id")), "id: empty"),
+            (~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "source: unknown"),
+            (~F.coalesce(F.col("id").startswith(F.concat(F.col("source"), F.lit("_"))), F.lit(False)), "id: prefix is not the source"),
+            (blank(F.col("query")), "query: empty"),
+            (F.col("function_calls").isNull(), "calls: null"),
+            (F.coalesce(F.size("tools"), F.lit(0)) <= 0, "tools: empty"),
         ]
-    found = [F.when(F.coalesce(bad, F.lit(False)), F.lit(msg)) for bad, msg in rules]
-    flat = F.array_compact(F.array(*found))
-    if not deep:
-        return flat
-    undeclared = F.transform("function_calls", lambda c: F.array_except(object_keys(c["arguments"]), declared(F.col("tools"), c["name"])))
-    missing = F.transform("function_calls", lambda c: F.array_except(required(F.col("tools"), c["name"]), object_keys(c["arguments"])))
-    tell = lambda sets, what: F.transform(F.array_sort(F.array_distinct(F.flatten(sets))), lambda k: F.concat(F.lit(what), k))
-    return F.concat(flat, F.coalesce(tell(undeclared, "arguments: undeclared "), F.array().cast("array<string>")), F.coalesce(tell(missing, "arguments: missing "), F.array().cast("array<string>")))
+        rules = [tool_name, (F.size(F.array_distinct(tool_names)) < F.size(tool_names), "tools: repeated name"), (_some_name(F.col("function_calls"), odd), "calls: name not snake_case"), unknown_call, no_object]
+    lacking, broken = _first_of(parts), _first_of(rules)
+    if deep:
+        keys = lambda c: object_keys(c["arguments"])
+        known = lambda c: F.array_contains(tool_names, name_key(c["name"])) & is_object(c["arguments"])
+        none = F.array().cast("array<string>")
+        undeclared = F.transform("function_calls", lambda c: F.when(known(c), F.array_except(keys(c), declared(F.col("tools"), c["name"]))).otherwise(none))
+        missing = F.transform("function_calls", lambda c: F.when(known(c), F.array_except(required(F.col("tools"), c["name"]), keys(c))).otherwise(none))
+        odd_keys = F.transform("function_calls", lambda c: F.filter(keys(c), odd))
+        tell = lambda sets, what: F.coalesce(F.transform(F.array_sort(F.array_distinct(F.flatten(sets))), lambda k: F.concat(F.lit(what), k)), none)
+        schemas = F.transform(parameter_errors_udf(F.transform("tools", lambda t: t["parameters"])), lambda e: F.concat(F.lit("schema: "), e))
+        broken = F.concat(broken, F.coalesce(schemas, none), tell(undeclared, "arguments: undeclared "), tell(missing, "arguments: missing "), tell(odd_keys, "arguments: key not snake_case "))
+    return F.when(F.size(lacking) > 0, lacking).otherwise(broken)
 
 
 def _schema_of(tools: Column, name: Column) -> Column:
@@ -136,8 +164,13 @@ def declared(tools: Column, name: Column) -> Column:
 
 
 def required(tools: Column, name: Column) -> Column:
-    """Names that a JSON Schema requires; [] for the flat form here, which says so in its types."""
-    return F.coalesce(F.try_variant_get(_schema_of(tools, name), "$.required", "array<string>"), F.array().cast("array<string>"))
+    """Names that a JSON Schema requires; in the flat form those whose type is not optional and that have no default."""
+    v = _schema_of(tools, name)
+    is_schema = F.try_variant_get(v, "$.type", "string") == "object"
+    flat = F.try_variant_get(v, "$", "map<string, variant>")
+    need = lambda p: F.try_variant_get(p, "$.default", "variant").isNull() & ~F.coalesce(F.try_variant_get(p, "$.type", "string").rlike(r"(?i),\s*optional\s*$"), F.lit(False))
+    listed = F.try_variant_get(v, "$.required", "array<string>")
+    return F.coalesce(F.when(is_schema, listed).otherwise(F.array_sort(F.map_keys(F.map_filter(flat, lambda k, p: need(p))))), F.array().cast("array<string>"))
 
 
 def validated(records: DataFrame, deep: bool = False, legacy: bool = False) -> DataFrame:

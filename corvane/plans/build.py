@@ -39,7 +39,7 @@ class Revision:
 
 def plan(spark: SparkSession, raw: DataFrame, tool_pool: DataFrame, config: BuildConfig | None = None) -> Revision:
     c = config or BuildConfig()
-    v = records.validated(raw.where("id is not null"))
+    v = records.validated(raw.where("id is not null"), deep=True)
     en, vi = cut(pairing.one_per_id(v, "en")), cut(pairing.one_per_id(v, "vi"))
     p = pairing.pairs(en, vi)
     checks = pairing.pair_shapes(p)
@@ -68,7 +68,7 @@ def plan(spark: SparkSession, raw: DataFrame, tool_pool: DataFrame, config: Buil
     kinds = {f"{k}/{s}": F.when(F.col("language") == s, x) for s in ("en", "vi") for k, x in (("id", F.col("id")), ("query", F.nullif(X.query_key(F.col("query")), F.lit(""))))}
     leak = dedup.leakage(rows, kinds).select(F.concat(F.lit("leak: "), "kind").alias("name"), F.col("n_leaking").alias("n_bad"))
     sides = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("s")).agg(F.count_if((F.col("n") != 2) | (F.col("s") != 1)).alias("n_bad")).select(F.lit("both languages in one split").alias("name"), "n_bad")
-    again = records.validated(rows).agg(F.count_if(~F.col("ok")).alias("n_bad")).select(F.lit("rules").alias("name"), "n_bad")
+    again = records.validated(rows, deep=True).agg(F.count_if(~F.col("ok")).alias("n_bad")).select(F.lit("rules").alias("name"), "n_bad")
     found = leak.union(sides).union(again)
     if c.strict_pairs:
         found = found.union(bad_pair.agg(F.count("*").alias("n_bad")).select(F.lit("pairs").alias("name"), "n_bad"))

@@ -156,20 +156,51 @@ def _rejects(r: DataFrame) -> DataFrame:
     return j.where("not (eo and vo)").select("id", F.array_join("e", "; ").alias("en_errors"), F.array_join("v", "; ").alias("vi_errors"))
 
 
-ERRORS = f"""list_filter([
+SNAKE = "coalesce(regexp_matches({}, '^[a-z][a-z0-9_]*$'), false)"
+LACKING = """list_filter([
  CASE WHEN coalesce(trim(id), '') = '' THEN 'id: empty' END,
  CASE WHEN NOT coalesce(source IN ('glaive', 'xlam', 'custom_vi'), false) THEN 'source: unknown' END,
  CASE WHEN NOT coalesce(starts_with(id, source || '_'), false) THEN 'id: prefix is not the source' END,
  CASE WHEN coalesce(trim(query), '') = '' THEN 'query: empty' END,
  CASE WHEN function_calls IS NULL THEN 'calls: null' END,
- CASE WHEN coalesce(len(tools), 0) = 0 THEN 'tools: empty' END,
+ CASE WHEN coalesce(len(tools), 0) = 0 THEN 'tools: empty' END
+], lambda x: x IS NOT NULL)"""
+BROKEN = f"""list_filter([
+ CASE WHEN len(list_filter(tools, lambda t: NOT {SNAKE.format('t.name')})) > 0 THEN 'tools: name not snake_case' END,
  CASE WHEN len(list_distinct(tn)) + CASE WHEN len(list_filter(tn, lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END < len(tn) THEN 'tools: repeated name' END,
+ CASE WHEN len(list_filter(function_calls, lambda c: NOT {SNAKE.format('c.name')})) > 0 THEN 'calls: name not snake_case' END,
  CASE WHEN len(list_filter(cn, lambda x: NOT coalesce(list_contains(tn, x), false))) > 0 AND tn IS NOT NULL THEN 'calls: not in tools' END,
- CASE WHEN len(list_filter(function_calls, lambda c: NOT coalesce(regexp_matches(ltrim(c.arguments), '^["{{]'), false))) > 0 THEN 'calls: arguments are no object' END
+ CASE WHEN len(list_filter(function_calls, lambda c: coalesce(json_type({DECODED.format('c.arguments')}), '') <> 'OBJECT')) > 0 THEN 'calls: arguments are no object' END
 ], lambda x: x IS NOT NULL)"""
-VALID = f"""WITH k AS (SELECT *, list_transform(tools, lambda t: {_name('t.name')}) AS tn, list_transform(function_calls, lambda c: {_name('c.name')}) AS cn FROM records),
-v AS (SELECT *, {ERRORS.replace('{{', '{')} AS errors FROM k)
+NAMED = f"k AS (SELECT *, list_transform(tools, lambda t: {_name('t.name')}) AS tn, list_transform(function_calls, lambda c: {_name('c.name')}) AS cn FROM records)"
+VALID = f"""WITH {NAMED}, l AS (SELECT *, {LACKING} AS lacking, {BROKEN} AS broken FROM k), v AS (SELECT *, CASE WHEN len(lacking) > 0 THEN lacking ELSE broken END AS errors FROM l)
+"""
+LEGACY = f"""WITH {NAMED}, l AS (SELECT *, list_filter([CASE WHEN coalesce(trim(id), '') = '' THEN 'id: empty' END, CASE WHEN coalesce(trim(query), '') = '' THEN 'query: empty' END,
+ CASE WHEN coalesce(len(function_calls), 0) = 0 THEN 'calls: empty' END, CASE WHEN tools IS NULL THEN 'tools: null' END], lambda x: x IS NOT NULL) AS lacking,
+ list_filter([CASE WHEN len(list_filter(cn, lambda x: NOT coalesce(list_contains(tn, x), false))) > 0 THEN 'calls: not in tools' END,
+ CASE WHEN len(list_filter(function_calls, lambda c: coalesce(json_type({DECODED.format('c.arguments')}), '') <> 'OBJECT')) > 0 THEN 'calls: arguments are no object' END,
+ CASE WHEN len(list_filter(tools, lambda t: NOT {SNAKE.format('t.name')})) > 0 THEN 'tools: name not snake_case' END,
+ CASE WHEN len(list_filter(tools, lambda t: coalesce(trim(t.feature_group), '') = '')) > 0 THEN 'tools: no feature group' END], lambda x: x IS NOT NULL) AS broken FROM k),
+v AS (SELECT *, CASE WHEN len(lacking) > 0 THEN lacking ELSE broken END AS errors FROM l)
 """
+# what is inside JSON: schemas by a walk over the properties and items of JSON Schemas (the flat form has no faults once
+# it is normalised), arguments against the first tool of their name
+DEEP = VALID.rstrip() + f""",
+t AS (SELECT rid, pos, {_name('x.name')} AS name, {DECODED.format('x.parameters')} AS j FROM (SELECT rid, unnest(tools) AS x, generate_subscripts(tools, 1) AS pos FROM records)),
+tf AS (SELECT rid, name, j, coalesce(json_type(j, '$.type') = 'VARCHAR' AND json_extract_string(j, '$.type') = 'object', false) AS schema FROM (SELECT *, row_number() OVER (PARTITION BY rid, name ORDER BY pos) AS nth FROM t) WHERE nth = 1),
+td AS (SELECT rid, name, CASE WHEN schema THEN coalesce(json_keys(j, '$.properties'), []) WHEN json_type(j) = 'OBJECT' THEN json_keys(j) ELSE [] END AS declared,
+ CASE WHEN schema THEN coalesce(CAST(json_extract(j, '$.required') AS VARCHAR[]), []) WHEN json_type(j) = 'OBJECT' THEN list_filter(json_keys(j), lambda k: json_extract(j, '$."' || k || '".default') IS NULL AND NOT coalesce(regexp_matches(json_extract_string(j, '$."' || k || '".type'), '(?i),\\s*optional\\s*$'), false)) ELSE [] END AS needed FROM tf),
+c AS (SELECT rid, {_name('x.name')} AS name, {DECODED.format('x.arguments')} AS j FROM (SELECT rid, unnest(function_calls) AS x FROM records)),
+ck AS (SELECT c.rid AS rid, json_keys(c.j) AS keys, declared, needed FROM c LEFT JOIN td ON c.rid = td.rid AND c.name = td.name WHERE json_type(c.j) = 'OBJECT'),
+ce AS (SELECT rid, 1 AS part, 'arguments: undeclared ' || k AS e FROM (SELECT rid, declared, unnest(keys) AS k FROM ck WHERE declared IS NOT NULL) WHERE NOT list_contains(declared, k)
+ UNION SELECT rid, 2, 'arguments: missing ' || k FROM (SELECT rid, keys, unnest(needed) AS k FROM ck WHERE declared IS NOT NULL) WHERE NOT list_contains(keys, k)
+ UNION SELECT rid, 3, 'arguments: key not snake_case ' || k FROM (SELECT rid, unnest(keys) AS k FROM ck) WHERE NOT {SNAKE.format('k')}
+ UNION SELECT rid, 0, 'schema: ' || regexp_replace(replace(replace(n.fullkey, '.properties.', '.'), '.items', '[]'), '^', '') || CASE WHEN json_type(n.value) <> 'OBJECT' THEN ': not an object' ELSE ': unknown type None' END
+  FROM (SELECT rid, j FROM t WHERE coalesce(json_type(j, '$.type') = 'VARCHAR' AND json_extract_string(j, '$.type') = 'object', false)), json_tree(j) AS n
+  WHERE regexp_matches(n.fullkey, '^\\$((\\.properties\\.[^.\\[]+)|(\\.items))+$') AND (json_type(n.value) <> 'OBJECT' OR json_type(n.value, '$.type') IS NULL AND json_type(n.value, '$.properties') IS NULL)),
+ca AS (SELECT rid, list(e ORDER BY part, e) AS inner_errors FROM (SELECT DISTINCT rid, part, e FROM ce) GROUP BY rid),
+d AS (SELECT v.rid AS rid, id, language, CASE WHEN len(lacking) > 0 THEN lacking ELSE list_concat(broken, coalesce(inner_errors, [])) END AS errors FROM v LEFT JOIN ca ON v.rid = ca.rid)
+""".replace("\\\\", "\\")
 
 
 def _quota(r: DataFrame) -> DataFrame:
@@ -283,7 +314,8 @@ list_transform(en.function_calls, lambda c: {_name('c.name')}) IS NOT DISTINCT F
 list_sort(list_transform(en.tools, lambda c: {_name('c.name')})) IS NOT DISTINCT FROM list_sort(list_transform(vi.tools, lambda c: {_name('c.name')})) AS same_tools FROM en JOIN vi ON en.id = vi.id""",
         "repeated_ids": "SELECT id, count(*) AS n FROM records WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
         "record_validation": VALID + "SELECT rid, len(errors) = 0 AS ok, coalesce(array_to_string(errors, '; '), '') AS errors FROM v",
-        "record_validation_legacy": VALID.replace("], lambda x: x IS NOT NULL)", ", CASE WHEN coalesce(len(function_calls), 0) = 0 THEN 'calls: empty' END, CASE WHEN len(list_filter(tools, lambda t: coalesce(trim(t.feature_group), '') = '')) > 0 THEN 'tools: no feature group' END], lambda x: x IS NOT NULL)")
+        "record_validation_deep": DEEP + "SELECT rid, len(errors) = 0 AS ok, coalesce(array_to_string(errors, '; '), '') AS errors FROM d",
+        "record_validation_legacy": LEGACY
         + "SELECT rid, len(errors) = 0 AS ok, coalesce(array_to_string(errors, '; '), '') AS errors FROM v",
         "validation_breakdown": VALID + "SELECT trim(split_part(e, ':', 1)) AS prefix, count(*) AS n FROM (SELECT unnest(errors) AS e FROM v) GROUP BY 1",
         "validation_pass_rate": VALID + "SELECT count(*) AS n, count(*) FILTER (WHERE len(errors) = 0) AS passed, round(count(*) FILTER (WHERE len(errors) = 0) / greatest(count(*), 1), 4) AS pass_rate FROM v",

@@ -15,20 +15,32 @@ SCHEMA = '{"type": "object", "properties": {"city": {"type": "string"}, "n": {"t
 
 
 def test_rules(spark):
+    flat = '{"city": {"type": "str"}, "n": {"type": "int, optional"}, "k": {"type": "int", "default": 1}}'
+    broken = '{"type": "object", "properties": {"A-B": {}, "l": {"type": "array", "items": {"enum": 3, "type": "string"}}}, "required": ["x"]}'
     r = table(
         spark,
         [
-            {"rid": 1, "id": "xlam_1", "source": "xlam", "query": "q", "function_calls": [("F ", '{"city": "a"}')], "tools": [tool("f", SCHEMA)]},
+            {"rid": 1, "id": "xlam_1", "source": "xlam", "query": "q", "function_calls": [("f", '{"city": "a"}')], "tools": [tool("f", SCHEMA)]},
             {"rid": 2, "id": "glaive_1", "source": "xlam", "query": " ", "tools": []},
             {"rid": 3, "id": "xlam_2", "source": "xlam", "query": "q", "function_calls": [("g", '{"z": 1}'), ("f", "[1]")], "tools": [tool("f", SCHEMA), tool("F", SCHEMA)]},
+            {"rid": 4, "id": "xlam_4", "source": "xlam", "query": "q", "function_calls": [("f", '{"z": 1, "B c": 2}'), ("F ", '"{\\"city\\": 1}"'), ("f", "[1"), ("f", None)], "tools": [tool("f", SCHEMA)]},
+            {"rid": 5, "id": "xlam_5", "source": "xlam", "query": "q", "function_calls": [("f", '{"n": 1}')], "tools": [tool("f", flat), tool("h", broken), tool("i", None)]},
+            {"rid": 6, "id": "x", "source": "other", "query": "q", "function_calls": [("f", "{}")], "tools": [tool("f", flat), tool("No", flat)]},
+            {"rid": 7, "id": "x", "query": "q", "function_calls": [], "tools": None},
             {},
         ],
     )
     got = {x["rid"]: x["errors"] for x in records.validated(r, deep=True).collect()}
     assert got[1] == []
     assert got[2] == ["id: prefix is not the source", "query: empty", "calls: null", "tools: empty"]
-    assert got[3] == ["tools: repeated name", "calls: not in tools", "calls: arguments are no object", "arguments: undeclared z", "arguments: missing city"]
+    assert got[3] == ["tools: name not snake_case", "tools: repeated name", "calls: not in tools", "calls: arguments are no object"]
+    assert got[4] == ["calls: name not snake_case", "calls: arguments are no object", "arguments: undeclared B c", "arguments: undeclared z", "arguments: missing city", "arguments: key not snake_case B c"]
+    assert got[5] == ["schema: $.A-B: unknown type None", "schema: $.l[]: enum is no list", "schema: $: required x is not declared", "arguments: missing city"]
     assert "source: unknown" in got[None]
+    flat_errors = {x["rid"]: x["errors"] for x in records.validated(r).collect()}
+    assert flat_errors[5] == [] and flat_errors[4] == got[4][:2]
+    legacy = {x["rid"]: x["errors"] for x in records.validated(r, legacy=True).collect()}
+    assert legacy[6] == ["tools: name not snake_case", "tools: no feature group"] and legacy[7] == ["calls: empty", "tools: null"] and legacy[1] == ["tools: no feature group"]
 
 
 def test_raw_forms(spark):
