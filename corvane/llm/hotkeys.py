@@ -29,8 +29,24 @@ def between(rows: DataFrame, left: str, right: str, key: str, ident: str, a: str
     return x.alias(a).join(y.alias(b), F.expr(f"{a}.{key} = {b}.{key} and {a}._own = {b}._other and {a}._other = {b}._own"))
 
 
+#: Condition for rows a and b of ``blocked`` with the same _at: two blocks meet in many cells, but in one only as a pair.
+MEET = "(a._u <> b._u or a._one)"
+
+
+def blocked(rows: DataFrame, key: str, size: str, ident: str) -> DataFrame:
+    """rows with _at, a digest of the key and a cell of its grid, _u, the block of the row, and _one, whether the cell
+    pairs a block with itself. size is a column that no count of the key exceeds. Both sides of the join are this table,
+    so it is shuffled once."""
+    g = F.ceil(F.col(size) / SIDE).cast("int")
+    r = rows.withColumn("_u", F.pmod(F.xxhash64(ident), g).cast("int")).withColumn("_v", F.explode(F.sequence(F.lit(0), g - 1)))
+    at = F.xxhash64(key, F.least("_u", "_v"), F.greatest("_u", "_v"))
+    return r.select(at.alias("_at"), "_u", (F.col("_u") == F.col("_v")).alias("_one"), *[c for c in rows.columns if c not in (key, size)])
+
+
 def within(rows: DataFrame, key: str, ident: str, a: str = "a", b: str = "b") -> DataFrame:
     """The pairs of two rows with the same key, the lesser ident as alias a, the other one as b."""
-    grid = rows.groupBy(key).agg(F.ceil(F.count("*") / SIDE).alias("_l"), F.count("*").alias("_n")).where("_n > 1").withColumn("_r", F.col("_l"))
-    x = _blocks(rows, grid, key, ident, "_l", "_r")
-    return x.alias(a).join(x.alias(b), F.expr(f"{a}.{key} = {b}.{key} and {a}._own = {b}._other and {a}._other = {b}._own and {a}.{ident} < {b}.{ident}"))
+    n = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    r = rows.join(n, key)
+    x = blocked(r.withColumn("_k", F.col(key)), "_k", "_n", ident)
+    meet = MEET.replace("a.", f"{a}.").replace("b.", f"{b}.")
+    return x.alias(a).join(x.alias(b), F.expr(f"{a}._at = {b}._at and {a}.{key} <=> {b}.{key} and {meet} and {a}.{ident} < {b}.{ident}"))

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.hotkeys import within
+from corvane.llm.hotkeys import MEET, blocked, within
 from corvane.llm.splits import tool_names
 from corvane.llm.textform import may_reach, word_set_udf
 from corvane.operators.graph import components
-from corvane.session import cut
+from corvane.session import cut, drop_cut
 
 BANDS, ROWS, CIRCLE = 36, 5, 1 << 20
 SIMILARITY, OVERLAP = 0.75, 0.5
@@ -94,12 +94,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rid, cid) and (cid, words, names, n, b0, b1): records with the same distinct words and tools share a class."""
+    """(rid, cid) and (cid, words, names, n, b0), both written: records with the same distinct words and tools share a
+    class. Texts are moved once, by the digest that tells a class."""
     r = records.where("rid is not null").select("rid", word_set_udf("query").alias("w"), tool_names(F.col("tools")).alias("names"))
-    r = cut(r.select("rid", "w.*", "names").where("n > 0 and size(names) > 0"))
-    c = r.groupBy("words", "names").agg(F.min("rid").alias("cid"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    members = r.join(c, ["words", "names"]).select("rid", "cid")
-    return members, c
+    r = r.where("w.n > 0 and size(names) > 0").select("rid", "w.words", "w.n", "w.b0", "names")
+    r = cut(r.withColumn("digest", F.unhex(F.md5(F.concat_ws("\x1f", "words", F.to_json("names"))))))
+    c = r.groupBy("digest").agg(F.min("rid").alias("cid"), *[F.first(x).alias(x) for x in ("words", "names", "n", "b0")])
+    c = cut(c)
+    members = cut(r.select("rid", "digest").join(c.select("digest", "cid"), "digest").select("rid", "cid"))
+    drop_cut(r)
+    return members, c.drop("digest")
 
 
 def class_pairs(c: DataFrame) -> DataFrame:
@@ -108,14 +112,16 @@ def class_pairs(c: DataFrame) -> DataFrame:
     sig = cut(c.mapInArrow(_bands, "cid long, bands array<long>"))
     k = sig.select("cid", F.explode("bands").alias("band"))
     # bands are counted map-side, whatever their size; nearly all are met once and end here, before tools multiply them
-    k = k.join(k.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "band", "left_semi")
-    k = k.join(c.select("cid", head.alias("tools")), "cid").select("cid", "band", F.explode("tools").alias("tool")).select("cid", F.xxhash64("band", "tool").alias("key"))
-    p = within(cut(k), "key", "cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
-    bits = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n{x}"), F.col("b0").alias(f"u{x}"), F.col("b1").alias(f"v{x}"))
+    k = cut(k.join(k.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"))
+    drop_cut(sig)
+    k = k.join(c.select("cid", head.alias("tools"), "n", "b0"), "cid").select("cid", "n", "b0", "m", "band", F.explode("tools").alias("tool"))
+    # a band has at least as many rows as each of its tools, so its count says how many blocks are needed
+    k = blocked(k.select("cid", "n", "b0", F.xxhash64("band", "tool").alias("key"), "m"), "key", "m", "cid")
+    # the bitmaps leave out nearly all that is not similar where the pair is met, and nothing that is
+    may = may_reach(SIMILARITY, (F.col("a.n"), F.col("b.n")), (F.col("a.b0"), F.col("b.b0")))
+    p = k.alias("a").join(k.alias("b"), F.expr(f"a._at = b._at and a.cid < b.cid and {MEET}")).where(may)
+    p = cut(p.select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct())
     texts = lambda x: c.select(F.col("cid").alias(f"cid_{x}"), F.col("words").alias(f"w{x}"), F.col("names").alias(f"t{x}"))
-    col = lambda x: (F.col(f"{x}a"), F.col(f"{x}b"))
-    # the bitmaps leave out nearly all that is not similar before a text is moved, and nothing that is
-    p = p.join(bits("a"), "cid_a").join(bits("b"), "cid_b").where(may_reach(SIMILARITY, col("n"), col("u"), col("v"))).select("cid_a", "cid_b")
     p = (
         p.join(texts("a"), "cid_a")
         .join(texts("b"), "cid_b")
@@ -132,7 +138,6 @@ def class_pairs(c: DataFrame) -> DataFrame:
 def pairs(records: DataFrame) -> DataFrame:
     """(rid_a, rid_b): all pairs of records above both thresholds."""
     members, c = classes(records)
-    members, c = cut(members), cut(c)
     p = class_pairs(c).select("cid_a", "cid_b")
     ma, mb = members.select(F.col("cid").alias("cid_a"), F.col("rid").alias("x")), members.select(F.col("cid").alias("cid_b"), F.col("rid").alias("y"))
     between = p.join(ma, "cid_a").join(mb, "cid_b").select("x", "y")
@@ -143,7 +148,6 @@ def pairs(records: DataFrame) -> DataFrame:
 def near_groups(records: DataFrame) -> DataFrame:
     """(rid, cid, grp, n_links): for each record its class of copies, its group of near-copies, the links of its class."""
     members, c = classes(records)
-    members, c = cut(members), cut(c)
     p = cut(class_pairs(c))
     ends = p.select(F.col("cid_a").alias("cid")).union(p.select(F.col("cid_b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     root = components(p, "cid_a", "cid_b").select(F.col("node").alias("cid"), F.col("root").alias("grp"))

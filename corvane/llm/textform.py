@@ -188,8 +188,8 @@ def word_set_udf(s: pd.Series) -> pd.DataFrame:
     return _word_rows(s, False)
 
 
-def may_reach(similarity: float, n: tuple[Column, Column], b0: tuple[Column, Column], b1: tuple[Column, Column]) -> Column:
+def may_reach(similarity: float, n: tuple[Column, Column], *bits: tuple[Column, Column]) -> Column:
     """False only for pairs below the similarity: two sets whose parity bitmaps differ in x bits differ in at least x
-    words, so they have at most (n + n' - x) / 2 words in common."""
-    x = F.bit_count(b0[0].bitwiseXOR(b0[1])) + F.bit_count(b1[0].bitwiseXOR(b1[1]))
+    words, so they have at most (n + n' - x) / 2 words in common. Any part of the bitmaps will do."""
+    x = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
     return (n[0] + n[1] - x) * (1 + similarity) >= 2 * similarity * (n[0] + n[1]) - 1e-6
