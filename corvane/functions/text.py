@@ -161,15 +161,21 @@ def iso_utc(c: Column) -> Column:
     return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
-# Phrases that answer a yes/no parameter.
-NO_CUES = ("don't", "do not", "without", "no need", "not", "không cần", "không muốn", "không", "đừng", "chưa")
-YES_CUES = ("please", "with", "yes", "want", "need", "có", "cần", "muốn", "hãy", "đúng")
+# Words that answer a yes/no parameter, as patterns; \\s stands for a blank that has to follow.
+YES_CUES = (r"có\s", r"muốn\s", r"cần\s", r"nên\s", r"được\s", "đồng ý", "chấp nhận", "cầu", "yes", "true", "đúng")
+NO_CUES = (r"không\s", r"chưa\s", "đừng", "cấm", r"không\s+được", r"không\s+muốn", r"không\s+cần", "no", "false", "sai", "từ chối")
+
+
+def cue_pattern(cues: tuple[str, ...]) -> str:
+    """One pattern for whole words of any script, in syntax that Java and RE2 share."""
+    blank, edge = r"[\s\p{Z}]", r"[^\p{L}\p{M}\p{N}_]"
+    one = [c[:-2].replace(r"\s", blank) + blank if c.endswith(r"\s") else c.replace(r"\s", blank) + f"(?:{edge}|$)" for c in cues]
+    return f"(?i)(?:^|{edge})(?:" + "|".join(one) + ")"
 
 
 def boolean_cue(c: Column) -> Column:
-    """1 if a phrase of refusal occurs, else 0 if one of consent does, else null; whole words, case ignored."""
-    low = F.concat(F.lit(" "), F.lower(F.regexp_replace(c, r"[.,;:!?\s]+", " ")), F.lit(" "))
-    has = lambda cues: F.exists(F.array(*map(F.lit, cues)), lambda x: F.contains(low, F.concat(F.lit(" "), x, F.lit(" "))))
+    """1 if a word of refusal occurs, else 0 if one of consent does, else null; whole words, case ignored (STR-18)."""
+    has = lambda cues: c.rlike("(?u)" + cue_pattern(cues))
     return F.when(has(NO_CUES), 1).when(has(YES_CUES), 0)
 
 
@@ -217,6 +223,21 @@ def strict_key(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_nfc_only(c))
 
 
+# Words for truth values.
+TRUTH = {"true": ("true", "yes", "có", "đúng"), "false": ("false", "no", "không", "sai")}
+
+
+def normalized_key(c: Column) -> Column:
+    """Compare key of the normalized kind (STR-25): NFC, white space squeezed, case folded; truth values, numbers and
+    dates with a day, month and year in one spelling each."""
+    t = query_key(c, "NFC")
+    number = F.regexp_replace(t, ",", ".").cast("double")
+    day = F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 1)
+    date = F.format_string("%s-%s-%s", F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 3), F.lpad(F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 2), 2, "0"), F.lpad(day, 2, "0"))
+    truth = [F.when(t.isin(*words), F.lit(k)) for k, words in TRUTH.items()]
+    return F.coalesce(*truth, F.when(t.rlike(r"^-?\d{1,15}([.,]\d{1,6})?$"), F.call_function("format_number", number, F.lit("0.######"))), F.when(day != "", date), t)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc_only(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

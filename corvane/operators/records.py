@@ -51,18 +51,34 @@ def with_first_calls(turns: DataFrame, column: str = "turns") -> DataFrame:
     return t.withColumn("function_calls", X.parse_calls(F.col("blocks"))).drop("ex", "blocks")
 
 
-def from_chat(raw: DataFrame, key: str = "doc_id", chat: str = "text") -> DataFrame:
-    """(key, query, function_calls, n_turns) of each dialogue with a first user turn and a call in answer to it."""
-    t = raw.select(key, X.turns(F.col(chat)).alias("turns")).where(F.exists("turns", lambda x: x["role"] == "user"))
-    r = with_first_calls(t).select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query"), "function_calls", F.size("turns").alias("n_turns"))
-    return r.where("query <> '' and size(function_calls) > 0")
-
-
-def negatives_from_chat(raw: DataFrame, key: str = "doc_id", chat: str = "text") -> DataFrame:
-    """(key, query) of each dialogue with a user turn in which no assistant turn holds a call."""
-    t = raw.select(key, X.turns(F.col(chat)).alias("turns")).where(F.exists("turns", lambda x: x["role"] == "user"))
+def _system_tools(system: Column | None) -> Column:
+    """The tool that a system text describes as its first object, with a normalised schema; [] for none (PRJ-01)."""
+    none = F.expr("cast(array() as array<struct<name: string, description: string, parameters: string>>)")
+    if system is None:
+        return none
+    v = F.try_parse_json(X.first_object_udf(system))
+    name = F.try_variant_get(v, "$.name", "string")
+    schema = as_schema_udf(F.coalesce(F.to_json(F.try_variant_get(v, "$.parameters", "variant")), F.lit("{}")))
+    tool = F.struct(name.alias("name"), F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit("")).alias("description"), schema.alias("parameters"))
+    return F.when(F.coalesce(F.trim(name), F.lit("")) != "", F.array(tool)).otherwise(none)
+
+
+def from_chat(raw: DataFrame, key: str = "doc_id", chat: str = "text", system: str | None = None, source: str = "glaive") -> DataFrame:
+    """(key, source, query, function_calls, tools, has_tool_call, n_turns) of each dialogue with a first user turn and a
+    call in answer to it; tools are that of the system text and stubs for other called names."""
+    t = raw.select(key, X.turns(F.col(chat)).alias("turns"), _system_tools(F.col(system) if system else None).alias("own")).where(F.exists("turns", lambda x: x["role"] == "user"))
+    r = with_first_calls(t).select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query"), "function_calls", "own", F.size("turns").alias("n_turns"))
+    r = r.where("query <> '' and size(function_calls) > 0")
+    return r.select(key, F.lit(source).alias("source"), "query", "function_calls", complete_tools(F.col("own"), F.col("function_calls")).alias("tools"), F.lit(True).alias("has_tool_call"), "n_turns")
+
+
+def negatives_from_chat(raw: DataFrame, key: str = "doc_id", chat: str = "text", system: str | None = None) -> DataFrame:
+    """(key, query) of each dialogue with a user turn in which no assistant turn holds a call; with a system text also
+    (tools), and dialogues that offer no tool are left out."""
+    t = raw.select(key, X.turns(F.col(chat)).alias("turns"), _system_tools(F.col(system) if system else None).alias("tools")).where(F.exists("turns", lambda x: x["role"] == "user"))
     free = ~F.exists("turns", lambda x: (x["role"] == "assistant") & F.contains(x["content"], F.lit("<functioncall>")))
-    return t.where(free).select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query")).where("query <> ''")
+    r = t.where(free).select(key, F.filter("turns", lambda x: x["role"] == "user")[0]["content"].alias("query"), "tools").where("query <> ''")
+    return r.where("size(tools) > 0") if system else r.drop("tools")
 
 
 def from_flat(raw: DataFrame) -> DataFrame:

@@ -54,11 +54,6 @@ def id_digest(rows: DataFrame, ident: str, *by: str) -> DataFrame:
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", *[word(i).cast("string") for i in range(4)], F.count("*").cast("string")), 256).alias("digest"))
 
 
-def sorted_id_hash(rows: DataFrame, ident: str, *by: str) -> DataFrame:
-    """SHA-256 over the sorted ids, each followed by a line break: for manifests, whose id sets are bounded."""
-    return rows.where(F.col(ident).isNotNull()).groupBy(*by).agg(F.count_distinct(ident).alias("n"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(ident)), "\n"), F.lit("\n")), 256).alias("digest"))
-
-
 def pivot_report(rows: DataFrame, row: str, column: str, values: list[str], cell: Column) -> DataFrame:
     """row x column table of texts, '-' where there is none (SNK-09)."""
     p = rows.groupBy(row).pivot(column, values).agg(F.max(cell))
@@ -66,8 +61,10 @@ def pivot_report(rows: DataFrame, row: str, column: str, values: list[str], cell
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small report as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small report as a Markdown table; a table of more than ``limit`` rows is no report and raises."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
     line = lambda xs: "| " + " | ".join("-" if x is None else str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *map(line, rows)])
 

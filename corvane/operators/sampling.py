@@ -43,23 +43,28 @@ def judge_sample(rows: DataFrame, key: str, rate: float, seed: int = 42) -> Data
     return rows.orderBy(shuffle_key(seed, F.col(key)), key).limit(n)
 
 
-def nested_candidates(anchors: DataFrame, pool: DataFrame, sizes: list[int], seed: int = 42) -> DataFrame:
+def nested_candidates(anchors: DataFrame, pool: DataFrame, sizes: list[int], seed: int = 42, chunk: int = 20_000) -> DataFrame:
     """(rid, n, nth, name, is_gold): for each anchor (rid, gold array) and each size the gold names first, then the
     prefix of one shuffled order of the other names, so the set of a smaller size lies in that of a larger one.
 
-    The pool is a dimension table; it is broadcast behind a size check, and only max(sizes) names of each anchor are
-    kept, by a running top-n inside an aggregate of bounded size."""
+    The pool is a catalogue: it goes along as arrays of about ``chunk`` names, broadcast while there are few. Each anchor
+    takes the first names of its own order out of an array, so no row is made for a pair that falls out; with several
+    arrays their firsts are merged for each anchor, at most max(sizes) from each."""
     most = max(sizes)
-    a = anchors.select("rid", F.slice(F.array_distinct("gold"), 1, most).alias("gold"))
     names = pool.select("name").where("name is not null").distinct()
-    few = names.limit(100_001).count() <= 100_000
-    cand = a.join(F.broadcast(names) if few else names, ~F.array_contains("gold", F.col("name")))
-    rank = F.row_number().over(W.partitionBy("rid").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("rid").cast("string"), F.lit(":"), "name"), 256), "name"))
-    cand = cand.withColumn("rn", rank).where(F.col("rn") <= most)
+    chunks = max(1, -(-names.count() // chunk))
+    arrays = names.groupBy(F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("_c")).agg(F.collect_list("name").alias("_names"))
+    a = anchors.select("rid", F.slice(F.array_distinct("gold"), 1, most).alias("gold"))
+    order = lambda x: F.sha2(F.concat(F.lit(f"{seed}:"), F.col("rid").cast("string"), F.lit(":"), x), 256)
+    firsts = F.slice(F.array_sort(F.transform(F.array_except("_names", "gold"), lambda x: F.struct(order(x).alias("o"), x.alias("name")))), 1, most)
+    cand = a.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>"))).join(F.broadcast(arrays) if chunks <= 5 else arrays, "_c").select("rid", "gold", firsts.alias("own"))
+    if chunks > 1:
+        cand = cand.groupBy("rid").agg(F.first("gold").alias("gold"), F.slice(F.array_sort(F.flatten(F.collect_list("own"))), 1, most).alias("own"))
     size = F.explode(F.array(*map(F.lit, sizes)))
-    d = cand.select("rid", "name", "rn", F.size("gold").alias("g"), size.alias("n")).where("rn <= n - g").select("rid", "n", (F.col("rn") + F.col("g")).alias("nth"), "name", F.lit(False).alias("is_gold"))
-    g = a.select("rid", size.alias("n"), "gold").select("rid", "n", F.posexplode("gold").alias("p", "name"))
-    return d.union(g.where("p < n").select("rid", "n", (F.col("p") + 1).alias("nth"), "name", F.lit(True).alias("is_gold")))
+    d = cand.select("rid", F.size("gold").alias("g"), "own", size.alias("n")).select("rid", "g", "n", F.posexplode(F.slice("own", F.lit(1), F.greatest(F.col("n") - F.col("g"), F.lit(0)))).alias("p", "x"))
+    d = d.select("rid", "n", (F.col("p") + 1 + F.col("g")).alias("nth"), F.col("x.name").alias("name"), F.lit(False).alias("is_gold"))
+    g = a.select("rid", size.alias("n"), "gold").select("rid", "n", F.posexplode(F.slice("gold", F.lit(1), F.col("n"))).alias("p", "name"))
+    return d.union(g.select("rid", "n", (F.col("p") + 1).alias("nth"), "name", F.lit(True).alias("is_gold")))
 
 
 def shard(rows: DataFrame, ordinal: str, n: int, k: int) -> DataFrame:

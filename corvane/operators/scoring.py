@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,22 +96,44 @@ def gap(metrics_by: DataFrame, key: str, a: str, b: str, columns: list[str]) ->
     return metrics_by.agg(*[F.round(pick(a, c) - pick(b, c), 4).alias(f"{c}_gap") for c in columns])
 
 
-def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """One row: mean and the 95 % interval of resampled means (AGG-24).
+_PRIME = (1 << 31) - 1
 
-    Poisson bootstrap: each row gets, in each round, a weight drawn by hash, so no resample is ever gathered; only
-    ``rounds`` sums leave a partition."""
-    u = lambda i: (F.xxhash64(F.lit(seed), i, F.col(key)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53))
-    steps, p, c = [], 0.36787944117144233, 0.0
-    for k in range(8):
+
+def poisson_steps(n: int = 8) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... under a Poisson law of mean 1."""
+    out, p, c = [], 0.36787944117144233, 0.0
+    for k in range(n):
         c += p
-        steps.append(c)
+        out.append(c)
         p /= k + 1
-    weight = lambda i: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0.0), lambda s, t: s + F.when(u(i) >= t, 1.0).otherwise(0.0))
-    r = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    r = r.withColumn("w", weight(F.col("round"))).groupBy("round").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    ci = r.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return values.agg(F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(ci)
+    return out
+
+
+def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """One row: mean and the 95 % interval of resampled means (AGG-24).
+
+    Poisson bootstrap: round i gives a row the weight that (x * (i * 48271 + seed) + i) mod (2^31 - 1) falls into, where x
+    is 28 bits of the MD5 of its key. A batch is one matrix of weights, and only ``rounds`` pairs of sums leave a task."""
+    steps = np.array(poisson_steps())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = np.arange(1, rounds + 1, dtype=np.int64)
+        factor = (i * 48271 + seed) % _PRIME
+        total, weighted = np.zeros(rounds), np.zeros(rounds)
+        for b in batches:
+            x, v = b.column("x").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), 4096):
+                u = (x[at : at + 4096, None] * factor + i) % _PRIME / _PRIME
+                w = np.searchsorted(steps, u, side="right")
+                total += w.sum(axis=0)
+                weighted += (w * v[at : at + 4096, None]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total), pa.array(weighted)], names=["round", "w", "s"])
+
+    x = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
+    r = values.where(F.col(value).isNotNull()).select(x.alias("x"), F.col(value).cast("double").alias("v")).mapInArrow(run, "round long, w double, s double")
+    m = r.groupBy("round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    ci = m.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    return values.agg(F.round(F.avg(F.col(value).cast("double")), 6).alias("mean")).join(ci, F.lit(True))  # one row each
 
 
 def failure_streaks(rows: DataFrame, part: str, order: str, failed: Column, least: int = 2) -> DataFrame:

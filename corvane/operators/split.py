@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +17,41 @@ def shuffle_key(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def ratio_split(rows: DataFrame, key: str, seed: int = 42, part: str | None = None) -> DataFrame:
+def ratio_split(rows: DataFrame, key: str, seed: int = 42, part: str | None = None, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
     """rows with split by rank in the shuffled order of their part: floor(n * ratio) rows each, the rest is test."""
+    check_ratios(ratios)
     r = ranked(rows.withColumn("_o", shuffle_key(seed, F.col(key))), ["_o", key], part, "_rn")
     r = group_sizes(r, part, "_n")
-    a, b = F.floor(F.col("_n") * RATIOS[0]), F.floor(F.col("_n") * RATIOS[1])
+    a, b = F.floor(F.col("_n") * ratios[0]), F.floor(F.col("_n") * ratios[1])
     to = F.when(F.col("_rn") <= a, NAMES[0]).when(F.col("_rn") <= a + b, NAMES[1]).otherwise(NAMES[2])
     return r.withColumn("split", to).drop("_o", "_rn", "_n")
 
 
-def greedy_group_split(groups: DataFrame, stratum: str = "stratum", ident: str = "grp", size: str = "size", seed: int = 42, block: int = 50_000) -> DataFrame:
+def greedy_group_split(groups: DataFrame, stratum: str = "stratum", ident: str = "grp", size: str = "size", seed: int = 42, block: int = 50_000, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
     """(grp, split): each group goes to the split with the largest deficit, group by group in shuffled order, within
     each stratum. A stratum of more than ``block`` groups is folded in blocks by hash, each with its own targets, so no
     task holds more than a block; the ratios hold in every block, so they hold in the stratum."""
-    n = groups.groupBy(stratum).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("n_blocks"))
-    g = groups.join(F.broadcast(n), stratum).withColumn("blk", F.pmod(F.xxhash64(ident), F.col("n_blocks")))
-    a = g.groupBy(stratum, "blk").agg(F.array_sort(F.collect_list(F.struct(shuffle_key(seed, F.col(ident)).alias("o"), F.col(ident).alias("grp"), F.col(size).cast("double").alias("w")))).alias("xs"), F.sum(size).cast("double").alias("total"))
-    zero = "named_struct('t', 0D, 'v', 0D, 's', 0D, 'out', cast(array() as array<struct<grp: string, split: string>>))"
-    fold = f"""aggregate(xs, {zero}, (acc, x) -> named_struct(
-        't', acc.t + if({{to}} = 'train', x.w, 0D), 'v', acc.v + if({{to}} = 'val', x.w, 0D), 's', acc.s + if({{to}} = 'test', x.w, 0D),
-        'out', concat(acc.out, array(named_struct('grp', cast(x.grp as string), 'split', {{to}})))), acc -> acc.out)"""
-    dt, dv, ds = (f"(total * {r} - acc.{k})" for r, k in zip(RATIOS, "tvs"))
-    to = f"case when {dt} >= {dv} and {dt} >= {ds} then 'train' when {dv} >= {ds} then 'val' else 'test' end"
-    return a.select(F.explode(F.expr(fold.replace("{to}", to))).alias("x")).select("x.grp", "x.split")
+    check_ratios(ratios)
+    n = groups.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("n_blocks"))
+    g = groups.join(n, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s").withColumn("blk", F.pmod(F.xxhash64(ident), F.col("n_blocks")))
+    g = g.select(F.col(stratum).cast("string").alias("stratum"), "blk", shuffle_key(seed, F.col(ident)).alias("o"), F.col(ident).cast("string").alias("grp"), F.col(size).cast("double").alias("w"))
+    return g.groupBy("stratum", "blk").applyInPandas(lambda block: _folded(block, check_ratios(ratios)), "grp string, split string")
+
+
+def check_ratios(ratios: tuple[float, ...], tolerance: float = 1e-9) -> tuple[float, ...]:
+    """ratios, if there is one for each split and they add up to 1 (MTH-03)."""
+    if len(ratios) != len(NAMES) or any(r < 0 for r in ratios) or abs(sum(ratios) - 1) > tolerance:
+        raise ValueError(f"ratios {ratios} are not {len(NAMES)} shares of 1")
+    return tuple(ratios)
+
+
+def _folded(block: pd.DataFrame, ratios: tuple[float, ...]) -> pd.DataFrame:
+    """Each group in shuffled order to the split with the largest deficit; ties go to the earlier split."""
+    block = block.sort_values(["o", "grp"])
+    left = [block["w"].sum() * r for r in ratios]
+    to = []
+    for w in block["w"].tolist():
+        k = left.index(max(left))
+        left[k] -= w
+        to.append(NAMES[k])
+    return pd.DataFrame({"grp": block["grp"], "split": to})

@@ -87,6 +87,14 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "first_turn": TURNS
+        + r""", u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS nth, coalesce(sum(CASE WHEN role = 'function' THEN 1 ELSE 0 END) OVER w, 0) AS fn FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT doc_id, content, pos FROM u WHERE nth = 1 AND role = 'assistant' AND fn = (SELECT coalesce(max(fn), 0) FROM u v WHERE v.doc_id = u.doc_id AND v.nth = 0)),
+b AS (SELECT doc_id, pos, unnest(bs) AS block, generate_subscripts(bs, 1) AS i FROM (SELECT doc_id, pos, list_transform(string_split(content, '<functioncall>')[2:], lambda p: trim(string_split(p, chr(10) || chr(10))[1], chr(32) || chr(9) || chr(10) || chr(13))) AS bs FROM x)),
+n AS (SELECT doc_id, pos, i, CASE WHEN json_valid(block) THEN json_extract_string(block, '$.name') ELSE regexp_extract(block, '["'']name["'']\s*:\s*["'']([^"'']+)["'']', 1) END AS name FROM b),
+c AS (SELECT doc_id, count(*) AS n_calls, arg_min(name, pos * 1000 + i) AS first_call FROM n WHERE regexp_matches(name, '^[a-z][a-z0-9_]*$') GROUP BY doc_id),
+fu AS (SELECT doc_id, arg_min(content, pos) AS query FROM t WHERE role = 'user' GROUP BY doc_id)
+SELECT fu.doc_id AS doc_id, query, CAST(n_calls AS INT) AS n_calls, first_call FROM fu JOIN c ON fu.doc_id = c.doc_id WHERE query <> ''""",
         "dialogue_turns": TURNS + "SELECT doc_id, pos, role, content FROM t",
         "negative_dialogues": TURNS
         + """, f AS (SELECT doc_id, arg_min(content, pos) FILTER (WHERE role = 'user') AS query, max(CASE WHEN role = 'assistant' AND contains(content, '<functioncall>') THEN 1 ELSE 0 END) AS called FROM t GROUP BY doc_id)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from corvane.operators import experiments, pairing, quality
 from corvane.operators.records import name_key
 from corvane.plans.common import Query, on
-from corvane.plans.record_queries import PAIRS, _name, _pair_sides
+from corvane.plans.nested_queries import DECODED
+from corvane.plans.record_queries import PAIRS, SNAKE, _name, _pair_sides
 
+# DuckDB lets a comma before a closing bracket pass, strict JSON does not
+STRICT = "(json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '\"([^\"\\x5c]|\\x5c.)*\"', '0', 'g'), ',\\s*[\\]}}]'))"
 ONE, TWO = ({"glaive": 40, "xlam": 60}, 20), ({"glaive": 20, "xlam": 30}, 10)
 
 
@@ -94,6 +97,14 @@ SELECT count(*) FILTER (WHERE l.id IS NOT NULL AND r.id IS NOT NULL) AS n_both,
         "preflight_checks": """SELECT 'rows without rid' AS name, CAST(0 AS BIGINT) AS want, count(*) FILTER (WHERE rid IS NULL) AS got, count(*) FILTER (WHERE rid IS NULL) = 0 AS ok FROM records
 UNION ALL SELECT 'positive negatives', 0, count(*) FILTER (WHERE coalesce(len(function_calls) > 0, false) AND NOT coalesce(has_tool_call, true)), count(*) FILTER (WHERE coalesce(len(function_calls) > 0, false) AND NOT coalesce(has_tool_call, true)) = 0 FROM records
 UNION ALL SELECT 'unknown sources', 0, count(*) FILTER (WHERE NOT coalesce(source IN ('glaive', 'xlam', 'custom_vi'), false)), count(*) FILTER (WHERE NOT coalesce(source IN ('glaive', 'xlam', 'custom_vi'), false)) = 0 FROM records""",
+        "input_file_counts": "SELECT 'records.parquet' AS file, count(*) AS n FROM records",
+        "translation_quality": PAIRS
+        + f""", k AS (SELECT id, lg, query, function_calls, tools, list_transform(function_calls, lambda c: {_name('c.name')}) AS names, list_transform(function_calls, lambda c: coalesce(list_sort(list_distinct(json_keys({DECODED.format('c.arguments')}))), [])) AS keys FROM r),
+e AS (SELECT v.id AS id, list_concat(list_filter([CASE WHEN coalesce(trim(v.query), '') = '' THEN 'query: missing' END, CASE WHEN coalesce(len(v.function_calls), 0) = 0 THEN 'calls: missing' END, CASE WHEN NOT (o.names IS NOT DISTINCT FROM v.names AND o.keys IS NOT DISTINCT FROM v.keys) THEN 'identifiers: differ from the original' END], lambda x: x IS NOT NULL),
+ list_concat(coalesce(list_transform(list_filter(v.function_calls, lambda c: NOT {SNAKE.format('trim(c.name)')}), lambda c: 'call name not snake_case: ' || coalesce(c.name, 'null')), []), coalesce(list_transform(list_filter(v.tools, lambda t: NOT {SNAKE.format('trim(t.name)')}), lambda t: 'tool name not snake_case: ' || coalesce(t.name, 'null')), []))) AS e FROM k o JOIN k v ON o.id = v.id AND o.lg = 'en' AND v.lg = 'vi')
+SELECT id, CAST(len(e) AS INT) AS n_errors, array_to_string(e, '; ') AS errors FROM e""",
+        "fallback_parse": f"""WITH a AS (SELECT unnest(function_calls).arguments AS a FROM records), s AS (SELECT a, {STRICT.format('a')} AS ok, {STRICT.format("regexp_extract(a, '([{][^$]*[}])', 1)")} AS braces FROM a WHERE a IS NOT NULL)
+SELECT CASE WHEN ok THEN 'strict' WHEN braces AND contains(a, '{{') AND contains(a, '}}') THEN 'braces' ELSE 'failed' END AS step, count(*) AS n FROM s GROUP BY 1""",
         "dataset_statistics": f"""WITH t AS (SELECT source, count(DISTINCT name) AS n_tools FROM (SELECT source, {_name('x.name')} AS name FROM (SELECT source, unnest(tools) AS x FROM records)) WHERE name <> '' GROUP BY source)
 SELECT r.source AS source, count(*) AS n, round(avg(length(query)), 4) AS mean_query_length, round(avg(coalesce(len(tools), 0)), 4) AS mean_tools, round(avg(coalesce(len(function_calls), 0)), 4) AS mean_calls, coalesce(any_value(n_tools), 0) AS n_tools FROM records r LEFT JOIN t ON r.source = t.source GROUP BY r.source""",
     }

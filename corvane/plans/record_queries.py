@@ -14,6 +14,9 @@ from corvane.plans.common import Query, on
 from corvane.plans.nested_queries import DECODED
 
 KEY = r"trim(lower(regexp_replace(query, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+# NFKC for what the tables hold: full-width forms by a table, blanks by a class, the rest is NFC
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+NFKC = f"trim(regexp_replace(replace(lower(nfc_normalize(translate(query, '{WIDE}', '{''.join(map(chr, range(0x21, 0x7F))).replace(chr(39), chr(39) * 2)}'))), 'ß', 'ss'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 LANG = "CASE WHEN regexp_matches(lower(trim(language)), '^(en|eng)([-_]|$)') THEN 'en' WHEN regexp_matches(lower(trim(language)), '^(vi|vie)([-_]|$)') THEN 'vi' END"
 NAME = r"lower(regexp_replace(regexp_replace({}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', ''))"
 N = "n.name"
@@ -46,8 +49,33 @@ c AS (SELECT x, y FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x)
 """
 
 
-def _any(cues: tuple[str, ...]) -> str:
-    return " OR ".join("contains(t, ' {} ')".format(c.replace("'", "''")) for c in cues)
+STRATA = COMPONENTS + f""", n AS (SELECT x AS node, min(y) AS root FROM c GROUP BY x),
+g AS (SELECT n.root AS grp, source, coalesce(len(function_calls) > 0, false) AS positive FROM en JOIN n ON n.node = 'en:' || {KEY}),
+k AS (SELECT grp, source, positive, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, source, positive) AS rn FROM g GROUP BY 1, 2, 3)
+"""
+HASH_SPLIT = f"SELECT rid, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT rid, CAST(('0x' || substr(sha256({KEY}), 1, 8)) AS BIGINT) % 100 AS h FROM records WHERE query IS NOT NULL)"
+DECONTAMINATED = f"""WITH k AS (SELECT rid, split, nullif({KEY}, '') AS key, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 WHEN 'train' THEN 2 END AS p FROM records WHERE split IS NOT NULL)
+SELECT rid, split FROM (SELECT *, min(p) OVER (PARTITION BY key) AS b FROM k) WHERE key IS NULL OR p = b"""
+# the fold over groups in shuffled order, one step of a recursion for each rank, all strata at once
+GREEDY = (
+    STRATA.replace(KEY, NFKC).rstrip()
+    + """, w AS (SELECT g.grp AS grp, concat_ws('/', k.source, CASE WHEN k.positive THEN 'true' ELSE 'false' END) AS stratum, CAST(count(*) AS DOUBLE) AS w, sha256('42:' || g.grp) AS o FROM g JOIN k ON k.grp = g.grp AND k.rn = 1 GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY o, grp) AS i, sum(w) OVER (PARTITION BY stratum) AS total FROM w),
+f AS (SELECT stratum, grp, i, CASE WHEN dt >= dv AND dt >= ds THEN 'train' WHEN dv >= ds THEN 'val' ELSE 'test' END AS split, dt - CASE WHEN dt >= dv AND dt >= ds THEN w ELSE 0 END AS dt, dv - CASE WHEN NOT (dt >= dv AND dt >= ds) AND dv >= ds THEN w ELSE 0 END AS dv, ds - CASE WHEN NOT (dt >= dv AND dt >= ds) AND NOT dv >= ds THEN w ELSE 0 END AS ds
+ FROM (SELECT stratum, grp, i, w, total * CAST(0.8 AS DOUBLE) AS dt, total * CAST(0.1 AS DOUBLE) AS dv, total * CAST(0.1 AS DOUBLE) AS ds FROM z WHERE i = 1)
+ UNION ALL SELECT z.stratum, z.grp, z.i, CASE WHEN f.dt >= f.dv AND f.dt >= f.ds THEN 'train' WHEN f.dv >= f.ds THEN 'val' ELSE 'test' END, f.dt - CASE WHEN f.dt >= f.dv AND f.dt >= f.ds THEN z.w ELSE 0 END, f.dv - CASE WHEN NOT (f.dt >= f.dv AND f.dt >= f.ds) AND f.dv >= f.ds THEN z.w ELSE 0 END, f.ds - CASE WHEN NOT (f.dt >= f.dv AND f.dt >= f.ds) AND NOT f.dv >= f.ds THEN z.w ELSE 0 END FROM f JOIN z ON z.stratum = f.stratum AND z.i = f.i + 1)
+"""
+    + f"SELECT en.rid AS rid, n.root AS grp, f.split AS split FROM en JOIN n ON n.node = 'en:' || {NFKC} JOIN f ON f.grp = n.root"
+)
+# top-level arguments; a value that holds other values counts as its JSON text
+ARGUMENTS = f"""WITH a AS (SELECT rid, CAST(generate_subscripts(function_calls, 1) - 1 AS INT) AS pos, unnest(function_calls).arguments AS raw FROM records),
+j AS (SELECT rid, pos, {DECODED.format('raw')} AS j FROM a),
+v AS (SELECT rid, pos, e.key AS key, CASE WHEN e.type IN ('OBJECT', 'ARRAY') THEN CAST(e.value AS VARCHAR) ELSE e.value ->> '$' END AS value FROM (SELECT * FROM j WHERE json_type(j) = 'OBJECT'), json_each(j) AS e)
+"""
+NORMALIZED_TEXT = "trim(regexp_replace(replace(lower(nfc_normalize(value)), 'ß', 'ss'), '[\\s\\p{Z}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+NORMALIZED = f"""CASE WHEN {NORMALIZED_TEXT} IN ('true', 'yes', 'có', 'đúng') THEN 'true' WHEN {NORMALIZED_TEXT} IN ('false', 'no', 'không', 'sai') THEN 'false'
+ WHEN regexp_matches({NORMALIZED_TEXT}, '^-?\\d{{1,15}}([.,]\\d{{1,6}})?$') THEN regexp_replace(regexp_replace(printf('%.6f', CAST(replace({NORMALIZED_TEXT}, ',', '.') AS DOUBLE)), '0+$', ''), '\\.$', '')
+ WHEN regexp_matches({NORMALIZED_TEXT}, '^\\d{{1,2}}[/.-]\\d{{1,2}}[/.-]\\d{{4}}$') THEN concat_ws('-', regexp_extract({NORMALIZED_TEXT}, '\\d{{4}}$'), lpad(regexp_extract({NORMALIZED_TEXT}, '^\\d{{1,2}}[/.-](\\d{{1,2}})', 1), 2, '0'), lpad(regexp_extract({NORMALIZED_TEXT}, '^\\d{{1,2}}'), 2, '0')) ELSE {NORMALIZED_TEXT} END"""
 
 
 def _dedup(r: DataFrame, key=dedup.scenario_key, text=X.ascii_key) -> DataFrame:
@@ -124,16 +152,19 @@ def _positional(r: DataFrame, f: DataFrame) -> DataFrame:
     return pairing.positional(src, out, "rid", "vi_rid", "dataset").select("dataset", F.col("k").cast("int").alias("k"), "rid", "vi_rid")
 
 
+SIZES = [3, 10, 50, 100, 500, 1000]
+
+
 def _haystack(r: DataFrame, p: DataFrame) -> DataFrame:
     a = sampling.stratified_sample(r.select("rid", "function_calls"), "rid", _positive(), 200).select("rid", F.coalesce(F.array_compact(names(F.col("function_calls"))), F.array().cast("array<string>")).alias("gold"))
-    return sampling.nested_candidates(a, p.select(name_key(F.col("name")).alias("name")), [3, 10, 50])
+    return sampling.nested_candidates(a, p.select(name_key(F.col("name")).alias("name")), SIZES)
 
 
-HAYSTACK = f"""WITH a AS (SELECT rid, list_slice(list_distinct_ordered, 1, 50) AS gold FROM (SELECT rid, coalesce(list_filter(list_transform(function_calls, lambda c: {_name('c.name')}), lambda x: x IS NOT NULL), []) AS g,
+HAYSTACK = f"""WITH a AS (SELECT rid, list_slice(list_distinct_ordered, 1, 1000) AS gold FROM (SELECT rid, coalesce(list_filter(list_transform(function_calls, lambda c: {_name('c.name')}), lambda x: x IS NOT NULL), []) AS g,
  list_filter(g, lambda x, i: list_position(g, x) = i) AS list_distinct_ordered FROM (SELECT * FROM (SELECT rid, function_calls, sha256(concat('42:', rid)) AS o, row_number() OVER (PARTITION BY coalesce(len(function_calls) > 0, false) ORDER BY sha256(concat('42:', rid)), rid) > 100 AS extra FROM records) ORDER BY extra, o, rid LIMIT 200))),
 n AS (SELECT DISTINCT {_name('name')} AS name FROM tool_pool WHERE name IS NOT NULL),
 c AS (SELECT a.rid, n.name, len(a.gold) AS g, row_number() OVER (PARTITION BY a.rid ORDER BY sha256(concat('42:', a.rid, ':', n.name)), n.name) AS rn FROM a, n WHERE NOT list_contains(a.gold, n.name)),
-s AS (SELECT unnest([3, 10, 50]) AS n),
+s AS (SELECT unnest({SIZES}) AS n),
 h AS (SELECT c.rid, CAST(s.n AS INT) AS n, CAST(c.rn + c.g AS INT) AS nth, c.name, false AS is_gold FROM c, s WHERE c.rn <= s.n - c.g
 UNION ALL SELECT rid, CAST(s.n AS INT) AS n, CAST(p AS INT) AS nth, gold[p] AS name, true AS is_gold FROM (SELECT rid, gold, unnest(range(1, len(gold) + 1)) AS p FROM a), s WHERE p <= s.n)
 """
@@ -274,7 +305,7 @@ def queries() -> dict[str, Query]:
         "calls_per_sample": rec(lambda r: reports.histogram(r.where("function_calls is not null"), F.size("function_calls"))),
         "function_frequency": rec(lambda r: reports.name_frequency(r.select(F.explode("function_calls").alias("c")).select(name_key(F.col("c.name")).alias("name")).where("name <> ''"))),
         "query_length_stats": rec(lambda r: reports.length_stats(r, F.col("query"), "source")),
-        "id_set_digest": rec(lambda r: reports.sorted_id_hash(r.where("split is not null"), "id", "split")),
+        "id_set_digest": rec(lambda r: reports.id_digest(r.where("split is not null"), "id", "split", "source")),
         "id_set_digest_merged": rec(lambda r: reports.id_digest(r.where("split is not null"), "id", "split")),
         "tool_pool_merge": on("tool_pool")(lambda p: pool.merge_pool(p, "tool_id", F.contains(F.col("parameters"), F.lit("type"))).select("key", "name", "description", "n")),
         "pool_category_counts": on("tool_pool")(lambda p: pool.category_counts(p, "feature_group")),
@@ -292,7 +323,8 @@ def queries() -> dict[str, Query]:
         "length_batches": rec(lambda r: sampling.length_batches(r.select("rid", "source", "query").where("source is not null"), F.coalesce(F.length("query"), F.lit(0)), "rid", "source", 64).select("rid", F.col("batch").cast("long").alias("batch"))),
         "modulo_shard": rec(lambda r: sampling.shard(r, "rid", 4, 1).groupBy("source").agg(F.count("*").alias("n"))),
         "chat_rows": rec(lambda r: records.chat_rows(r, pairing.main_language(F.col("language"))).select("rid", "language", F.size("messages").alias("n_messages"), F.coalesce(F.size(F.col("messages")[2]["tool_calls"]), F.lit(0)).alias("n_calls"), F.size("tools").alias("n_tools"), F.array_join(records.chat_errors(F.col("messages")), "; ").alias("errors"))),
-        "argument_values": rec(_args),
+        "argument_values": rec(lambda r: _args(r).select("rid", "pos", "key", F.when(~F.col("value").rlike(r"^[\[{]"), F.col("value")).alias("value"))),
+        "value_keys": rec(lambda r: _args(r).where("value is not null and not startswith(value, '{') and not startswith(value, '[')").select("rid", "pos", "key", X.strict_key(F.col("value")).alias("strict"), X.normalized_key(F.col("value")).alias("normalized"))),
         "argument_labels": rec(labels.argument_labels),
         "boolean_cues": rec(lambda r: r.select("rid", X.boolean_cue(F.col("query")).alias("cue"))),
         "error_taxonomy": rec(_taxonomy),
@@ -307,6 +339,15 @@ def oracle_sql() -> dict[str, str]:
         "scenario_dedup": DEDUP + "SELECT rid, reason FROM c",
         "dedup_reasons": DEDUP + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM c GROUP BY 1",
         "query_key_nfc": r"SELECT rid, trim(regexp_replace(replace(lower(nfc_normalize(query)), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')) AS key FROM records",
+        "query_key_nfkc": f"SELECT rid, {NFKC} AS key FROM records",
+        "components_nfkc": COMPONENTS.replace(KEY, NFKC) + "SELECT x AS node, min(y) AS root FROM c GROUP BY x",
+        "dominant_strata_nfkc": STRATA.replace(KEY, NFKC) + "SELECT grp, source, positive FROM k WHERE rn = 1",
+        "split_assignment_nfkc": HASH_SPLIT.replace(KEY, NFKC),
+        "decontaminate_priority_nfkc": DECONTAMINATED.replace(KEY, NFKC),
+        "greedy_split": GREEDY,
+        "argument_values": ARGUMENTS + "SELECT rid, pos, key, CASE WHEN NOT regexp_matches(value, '^[\\[{]') THEN value END AS value FROM v",
+        "value_keys": ARGUMENTS + f"SELECT rid, pos, key, nfc_normalize(value) AS strict, {NORMALIZED} AS normalized FROM v WHERE value IS NOT NULL AND NOT starts_with(value, '{{') AND NOT starts_with(value, '[')",
+        "verbatim_arguments": ARGUMENTS + "SELECT key, count(*) AS n, count(*) FILTER (WHERE contains(query, value)) AS verbatim, count(*) FILTER (WHERE NOT contains(query, value)) AS transformed FROM v JOIN records r ON v.rid = r.rid WHERE query IS NOT NULL AND value IS NOT NULL GROUP BY key",
         "pair_completeness": PAIRS + "SELECT count(*) FILTER (WHERE en.id IS NOT NULL AND vi.id IS NOT NULL) AS n_pairs, count(*) FILTER (WHERE vi.id IS NULL) AS missing_vi, count(*) FILTER (WHERE en.id IS NULL) AS missing_en FROM en FULL JOIN vi ON en.id = vi.id",
         "pair_checks": PAIRS
         + f"""SELECT en.id AS id, en.source IS NOT DISTINCT FROM vi.source AS same_source, coalesce(len(en.function_calls) > 0, false) = coalesce(len(vi.function_calls) > 0, false) AS same_polarity,
@@ -323,13 +364,8 @@ list_sort(list_transform(en.tools, lambda c: {_name('c.name')})) IS NOT DISTINCT
         + """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lg ORDER BY rid) AS rn FROM v WHERE lg IS NOT NULL AND id IS NOT NULL) WHERE rn = 1)
 SELECT en.id AS id, array_to_string(en.errors, '; ') AS en_errors, array_to_string(vi.errors, '; ') AS vi_errors FROM r en JOIN r vi ON en.id = vi.id AND en.lg = 'en' AND vi.lg = 'vi' WHERE len(en.errors) + len(vi.errors) > 0""",
         "components": COMPONENTS + "SELECT x AS node, min(y) AS root FROM c GROUP BY x",
-        "dominant_strata": COMPONENTS
-        + f""", n AS (SELECT x AS node, min(y) AS root FROM c GROUP BY x),
-g AS (SELECT n.root AS grp, source, coalesce(len(function_calls) > 0, false) AS positive FROM en JOIN n ON n.node = 'en:' || {KEY}),
-k AS (SELECT grp, source, positive, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, source, positive) AS rn FROM g GROUP BY 1, 2, 3)
-SELECT grp, source, positive FROM k WHERE rn = 1""",
-        "boolean_cues": f"""WITH k AS (SELECT rid, ' ' || lower(regexp_replace(query, '[.,;:!?\\s]+', ' ', 'g')) || ' ' AS t FROM records)
-SELECT rid, CASE WHEN {_any(X.NO_CUES)} THEN 1 WHEN {_any(X.YES_CUES)} THEN 0 END AS cue FROM k""",
+        "dominant_strata": STRATA + "SELECT grp, source, positive FROM k WHERE rn = 1",
+        "boolean_cues": f"SELECT rid, CASE WHEN regexp_matches(query, '{X.cue_pattern(X.NO_CUES)}') THEN 1 WHEN regexp_matches(query, '{X.cue_pattern(X.YES_CUES)}') THEN 0 END AS cue FROM records",
         "id_set_digest_merged": """WITH d AS (SELECT DISTINCT split, id, sha256(id) AS h FROM records WHERE split IS NOT NULL AND id IS NOT NULL)
 SELECT split, count(*) AS n, sha256(concat_ws(':', CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS digest FROM d GROUP BY split""",
         "pair_identifiers": PAIRS
@@ -338,13 +374,12 @@ SELECT e.id AS id, e.names IS NOT DISTINCT FROM v.names AND e.keys IS NOT DISTIN
         "error_taxonomy": f"""WITH c AS (SELECT rid, query, unnest(function_calls).arguments AS raw FROM records WHERE query IS NOT NULL), j AS (SELECT query, {DECODED.format('raw')} AS j FROM c),
 k AS (SELECT unnest(['city', 'guest_name', 'reference', 'place_name']) AS key), v AS (SELECT key, query, json_extract_string(j, '$.' || key) AS value FROM j, k WHERE json_type(j) = 'OBJECT')
 SELECT key, count(*) AS n, count(*) FILTER (WHERE contains(query, value)) AS verbatim, count(*) FILTER (WHERE NOT contains(query, value)) AS transformed, count(*) AS missing FROM v WHERE value IS NOT NULL GROUP BY key""",
-        "split_assignment": f"SELECT rid, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT rid, CAST(('0x' || substr(sha256({KEY}), 1, 8)) AS BIGINT) % 100 AS h FROM records WHERE query IS NOT NULL)",
+        "split_assignment": HASH_SPLIT,
         "ratio_split": "SELECT rid, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM (SELECT rid, row_number() OVER (PARTITION BY source ORDER BY sha256(concat('42:', rid)), rid) AS rn, count(*) OVER (PARTITION BY source) AS n FROM records WHERE source IS NOT NULL)",
         "split_leakage": f"""WITH k AS (SELECT split, id, nullif({KEY}, '') AS q, concat_ws(chr(29), coalesce(source, ''), coalesce({KEY}, ''), {FLAT_CALLS}, {FLAT_TOOLS}) AS sk FROM records WHERE split IS NOT NULL),
 l AS (SELECT split, 'id' AS kind, id AS key FROM k UNION ALL SELECT split, 'query', q FROM k UNION ALL SELECT split, 'scenario', sk FROM k)
 SELECT kind, count(*) FILTER (WHERE n > 1) AS n_leaking, count(*) AS n_keys FROM (SELECT kind, key, count(DISTINCT split) AS n FROM l WHERE key IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
-        "decontaminate_priority": f"""WITH k AS (SELECT rid, split, nullif({KEY}, '') AS key, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 WHEN 'train' THEN 2 END AS p FROM records WHERE split IS NOT NULL)
-SELECT rid, split FROM (SELECT *, min(p) OVER (PARTITION BY key) AS b FROM k) WHERE key IS NULL OR p = b""",
+        "decontaminate_priority": DECONTAMINATED,
         "corpus_counts": """WITH r AS (SELECT coalesce(source, 'none') AS s, CASE WHEN coalesce(len(function_calls), 0) > 0 THEN 'positive' ELSE 'negative' END AS p, CAST(coalesce(len(function_calls), 0) AS VARCHAR) AS c FROM records)
 SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM r UNION ALL SELECT 'source', s, count(*) FROM r GROUP BY s UNION ALL SELECT 'polarity', p, count(*) FROM r GROUP BY p UNION ALL SELECT 'n_calls', c, count(*) FROM r GROUP BY c""",
         "split_counts": f"SELECT coalesce({LANG}, 'other') AS lang, coalesce(split, 'none') AS split, count(*) AS n FROM records GROUP BY 1, 2",
@@ -353,7 +388,8 @@ round(coalesce(sum(c), 0) / greatest(count(*) FILTER (WHERE c > 0), 1), 2) AS ca
         "calls_per_sample": "SELECT CAST(len(function_calls) AS INT) AS bucket, count(*) AS n FROM records WHERE function_calls IS NOT NULL GROUP BY 1",
         "function_frequency": f"SELECT name, count(*) AS n FROM (SELECT {_name('c.name')} AS name FROM (SELECT unnest(function_calls) AS c FROM records)) WHERE name <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 20",
         "query_length_stats": "SELECT source, count(query) AS n, CAST(min(length(query)) AS INT) AS least, CAST(max(length(query)) AS INT) AS most, round(avg(length(query)), 4) AS mean, median(length(query)) AS median FROM records GROUP BY source",
-        "id_set_digest": "SELECT split, count(DISTINCT id) AS n, sha256(concat(string_agg(id, chr(10) ORDER BY id), chr(10))) AS digest FROM (SELECT DISTINCT split, id FROM records WHERE split IS NOT NULL AND id IS NOT NULL) GROUP BY split",
+        "id_set_digest": """WITH d AS (SELECT DISTINCT split, source, id, sha256(id) AS h FROM records WHERE split IS NOT NULL AND id IS NOT NULL)
+SELECT split, source, count(*) AS n, sha256(concat_ws(':', CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS digest FROM d GROUP BY split, source""",
         "tool_pool_merge": f"""WITH t AS (SELECT *, {_name('name')} AS key FROM tool_pool)
 SELECT key, arg_min(name, tool_id) AS name, coalesce(arg_min(description, tool_id) FILTER (WHERE trim(description) <> ''), '') AS description, count(*) AS n FROM t WHERE key <> '' GROUP BY key""",
         "pool_category_counts": f"SELECT coalesce(feature_group, 'Khác') AS category, count(*) AS n_rows, count(DISTINCT {_name('name')}) AS n_names FROM tool_pool GROUP BY 1",

@@ -18,7 +18,7 @@ CALLED = """CASE WHEN len(regexp_extract_all(raw_output, '<function=([^>\\s]+)>'
 # of them); blocks of JSON, and JSON outside of tags, with name and arguments. Arguments are compared by the sorted list
 # of all of their places, kinds and values, so the order of keys makes no difference and numbers count by value.
 # DuckDB lets a comma before a closing bracket pass, strict JSON does not; commas inside texts are left out of that test.
-VALUE = "coalesce(" + DECODED.replace("{0}", "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))") + ", CASE WHEN trim({0}, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '\"([^\"\\x5c]|\\x5c.)*\"', '', 'g'), ',\\s*[\\]}}]') THEN {0} ELSE CAST(to_json(trim({0}, chr(32) || chr(9) || chr(10) || chr(13))) AS VARCHAR) END)"
+VALUE = "coalesce(" + DECODED.replace("{0}", "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))") + ", CASE WHEN trim({0}, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '\"([^\"\\x5c]|\\x5c.)*\"', '0', 'g'), ',\\s*[\\]}}]') THEN {0} ELSE CAST(to_json(trim({0}, chr(32) || chr(9) || chr(10) || chr(13))) AS VARCHAR) END)"
 ONE_CALL = "CASE WHEN json_type(j, '$.function') = 'OBJECT' THEN json_extract(j, '$.function') ELSE j END"
 PARSED = f"""t AS (SELECT pred_id, coalesce(raw_output, '') AS raw, len(regexp_extract_all(coalesce(raw_output, ''), '(?i)<tool_call\\b')) AS n_open, len(regexp_extract_all(coalesce(raw_output, ''), '(?i)</tool_call\\s*>')) AS n_close FROM predictions),
 b AS (SELECT pred_id, unnest(x) AS block, generate_subscripts(x, 1) AS nb FROM (SELECT pred_id, regexp_extract_all(raw, '(?is)<tool_call>(.*?)</tool_call>', 1) AS x FROM t)),
@@ -27,7 +27,7 @@ f AS (SELECT pred_id, nb, unnest(fs) AS name, unnest(bodies) AS body, generate_s
 fp AS (SELECT pred_id, nb, nf, trim(name) AS name, regexp_extract_all(body, '(?is)<parameter\\s*=\\s*([^>\\s]+)\\s*>(.*?)</parameter>', 1) AS ks, list_transform(regexp_extract_all(body, '(?is)<parameter\\s*=\\s*([^>\\s]+)\\s*>(.*?)</parameter>', 2), lambda x: {VALUE.format('x')}) AS vs FROM f),
 fc AS (SELECT pred_id, nb, nf, name, CASE WHEN ks = ['raw'] AND json_type(vs[1]) = 'OBJECT' THEN vs[1] ELSE '{{' || coalesce(array_to_string(list_transform(list_zip(ks, vs), lambda x: CAST(to_json(x[1]) AS VARCHAR) || ':' || x[2]), ','), '') || '}}' END AS args, len(ks) - len(list_distinct(ks)) AS n_twice FROM fp),
 jt AS (SELECT pred_id, nb, trim(block, chr(32) || chr(9) || chr(10) || chr(13)) AS x FROM bf WHERE len(fs) = 0 UNION ALL SELECT pred_id, 0, trim(raw, chr(32) || chr(9) || chr(10) || chr(13)) FROM t WHERE n_open = 0 AND n_close = 0),
-jd AS (SELECT pred_id, nb, CASE WHEN json_valid(y) AND NOT regexp_matches(regexp_replace(y, '\"([^\"\\x5c]|\\x5c.)*\"', '', 'g'), ',\\s*[\\]}}]') THEN y END AS j FROM (SELECT pred_id, nb, trim(regexp_replace(x, '(?is)^```(json)?(.*)```$', '\\2'), chr(32) || chr(9) || chr(10) || chr(13)) AS y FROM jt)),
+jd AS (SELECT pred_id, nb, CASE WHEN json_valid(y) AND NOT regexp_matches(regexp_replace(y, '\"([^\"\\x5c]|\\x5c.)*\"', '0', 'g'), ',\\s*[\\]}}]') THEN y END AS j FROM (SELECT pred_id, nb, trim(regexp_replace(x, '(?is)^```(json)?(.*)```$', '\\2'), chr(32) || chr(9) || chr(10) || chr(13)) AS y FROM jt)),
 jl AS (SELECT pred_id, nb, unnest(CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.name') IS NOT NULL THEN [CAST(j AS JSON)] WHEN json_type(j, '$.tool_calls') = 'ARRAY' THEN json_extract(j, '$.tool_calls[*]') WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [] END) AS j FROM jd WHERE j IS NOT NULL),
 jo AS (SELECT pred_id, nb, row_number() OVER (PARTITION BY pred_id, nb) AS nf, {ONE_CALL} AS j FROM jl),
 jc AS (SELECT pred_id, nb, nf, CASE WHEN json_type(j, '$.name') = 'VARCHAR' AND trim(json_extract_string(j, '$.name')) <> '' THEN trim(json_extract_string(j, '$.name')) END AS name, json_type(j) AS kind,
@@ -136,6 +136,13 @@ s AS (SELECT cls, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS
         "score_by_language": table,
         "run_gap": "SELECT " + ", ".join(f"round(max({c}) FILTER (WHERE run = 'e4') - max({c}) FILTER (WHERE run = 'e0'), 4) AS {c}_gap" for c in ("tool_pct", "exact_pct", "non_call_pct")) + f" FROM ({_metrics_sql(PARSED, 'run')})",
         "metrics_report": "SELECT run, " + ", ".join(f"coalesce(max(printf('%.2f', exact_pct)) FILTER (WHERE lang = '{x}'), '-') AS {x}" for x in ("en", "vi", "other")) + f" FROM ({table}) GROUP BY run",
+        "bootstrap_ci": "WITH "
+        + PARSED.rstrip()
+        + ", "
+        + SCORED.replace(" WHERE p.pred_id IN (SELECT pred_id FROM m)", "")
+        + f""", draw AS (SELECT i, CAST(exact AS DOUBLE) AS v, ((CAST('0x' || substr(md5(CAST(pred_id AS VARCHAR)), 1, 7) AS BIGINT) * ((i * 48271 + 42) % 2147483647) + i) % 2147483647) / 2147483647 AS u FROM r, (SELECT unnest(range(1, 201)) AS i)),
+w AS (SELECT i, sum(k * v) / sum(k) AS m FROM (SELECT i, v, len(list_filter({scoring.poisson_steps()}, lambda s: u >= s)) AS k FROM draw) GROUP BY i)
+SELECT (SELECT round(avg(CAST(exact AS DOUBLE)), 6) FROM r) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM w""",
         "prediction_merge": f"SELECT run, id, lang, max(pred_id) AS pred_id, arg_max(batch_size, pred_id) AS batch_size FROM (SELECT *, {LANG} AS lang FROM predictions) GROUP BY 1, 2, 3",
         "tag_balance": r"""SELECT pred_id, CAST(len(regexp_extract_all(coalesce(raw_output, ''), '(?i)<tool_call\b')) AS INT) AS n_open, CAST(len(regexp_extract_all(coalesce(raw_output, ''), '(?i)</tool_call\s*>')) AS INT) AS n_close,
 len(regexp_extract_all(coalesce(raw_output, ''), '(?i)<tool_call\b')) = len(regexp_extract_all(coalesce(raw_output, ''), '(?i)</tool_call\s*>')) AS balanced FROM predictions""",

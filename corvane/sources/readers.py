@@ -71,9 +71,13 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (r.schema(schema) if schema else r).json(path)
 
 
-def first_existing(paths: list[str], default: str) -> str:
-    """The first path that exists, else the default (SRC-06)."""
-    return next((p for p in paths if os.path.exists(p)), default)
+def first_existing(paths: list[str], default: str, spark: SparkSession | None = None) -> str:
+    """The first path that exists, else the default (SRC-06); with a session, on any store that Spark knows."""
+    if spark is None:
+        return next((p for p in paths if os.path.exists(p)), default)
+    from corvane.sources.sinks import exists
+
+    return next((p for p in paths if exists(spark, p)), default)
 
 
 def zip_members(spark: SparkSession, path: str, keep: tuple[str, ...] = ("eval_metrics_*", "eval_predictions_*"), skip: tuple[str, ...] = ("*_part_*", "*.py", "*.json__*", "*__huggingface*")) -> DataFrame:

@@ -54,14 +54,26 @@ def read_json(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, path: str, build: Callable[[str], None], overwrite: bool = False) -> str:
-    """Run build in a staging folder and rename it to path at the end; refuses an existing path (SNK-02)."""
+    """Run build in a staging folder and rename it to path at the end; refuses an existing path (SNK-02).
+
+    What lies at path is renamed aside first and removed last, and comes back if the new folder can't take its place; a
+    crash between the two renames leaves it aside, where the next run finds it and brings it back."""
+    stage, aside = f"{path}.staging", f"{path}.previous"
+    if exists(spark, aside):
+        remove(spark, aside) if exists(spark, path) else rename(spark, aside, path)
     if exists(spark, path) and not overwrite:
         raise FileExistsError(path)
-    stage = f"{path}.staging"
     remove(spark, stage)
     build(stage)
-    remove(spark, path)
-    rename(spark, stage, path)
+    if exists(spark, path):
+        rename(spark, path, aside)
+    try:
+        rename(spark, stage, path)
+    except Exception:
+        if exists(spark, aside):
+            rename(spark, aside, path)
+        raise
+    remove(spark, aside)
     return path
 
 

@@ -40,7 +40,7 @@ def ask(text: str, models: list[tuple[str, Model]], down: dict[str, int], attemp
                     return answer, name, None
                 error = f"{name}: empty answer"
             except Exception as e:  # noqa: BLE001 - whatever a client raises is a failure of this attempt
-                error = f"{name}: {type(e).__name__}: {str(e)[:200]}"
+                error = f"{name}: {type(e).__name__}: {e}"
             if k + 1 < attempts:
                 time.sleep(wait * 2**k)
         down[name] = down.get(name, 0) + 1

@@ -7,25 +7,67 @@ that is replayed after a crash replaces its own output (one folder per batch), s
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.ranking import ranked
+
 
 class StreakStop(Exception):
     """Raised inside a batch to end a run after too many failures."""
 
 
-def run_batches(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, stop_rate: float | None = None) -> bool:
+METRICS = "batch_id long, n_rows long, n_ok long, n_failed long, seconds double, rows_per_second double"
+
+
+def throughput(rows: int, seconds: float) -> float:
+    """Rows a second; 0 where no time passed (MTH-07)."""
+    return round(rows / seconds, 4) if seconds > 0 else 0.0
+
+
+def longest_streak(done: DataFrame, order: str, before: int = 0) -> tuple[int, int]:
+    """(longest, last): the longest run of rows with an error in the order of a unique column, with ``before`` failures
+    ahead of the first row, and the run at the end.
+
+    A failure's number among all rows less its number among failures tells its run; both numbers come from sorted
+    partitions, so no task holds the batch."""
+    rows = ranked(done.select(F.col(order).alias("o"), F.col("error").isNotNull().alias("bad")), ["o"], None, "k")
+    n = rows.count()
+    bad = ranked(rows.where("bad").select("o", "k"), ["o"], None, "j")
+    runs = bad.groupBy((F.col("k") - F.col("j")).alias("run")).agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+    whole = F.col("n") + F.when(F.col("first") == 1, F.lit(before)).otherwise(0)
+    r = runs.agg(F.max(whole).alias("longest"), F.max(F.when(F.col("last") == n, whole)).alias("last")).first()
+    return r["longest"] or 0, (r["last"] or 0) if n else before
+
+
+def counted_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """rows with batch: ``size`` consecutive rows by order each, the last batch may be smaller (STM-02)."""
+    r = ranked(rows, [order], None, "_rn")
+    return r.withColumn("batch", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+
+
+def run_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """One row over the batches of a run: batches, rows, failures, seconds and rows a second (STM-09)."""
+    m = spark.read.parquet(f"{out}/metrics")
+    return m.agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.sum("n_failed").alias("n_failed"), F.round(F.sum("seconds"), 4).alias("seconds"), F.round(F.coalesce(F.sum("n_rows") / F.nullif(F.sum("seconds"), F.lit(0.0)), F.lit(0.0)), 4).alias("rows_per_second"))
+
+
+def run_batches(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, stop_rate: float | None = None, stop_streak: int | None = None, order: str | None = None) -> bool:
     """Process all that is new in source and return whether it ran to the end.
 
     work gives each row an ``error`` column; rows without one go to out/ok, the others to out/failed, then ``after``
     may enrich the batch: its failure is recorded in out/notes and undoes nothing. stop_rate ends the run after a batch
-    in which that share of rows failed; the batch itself is kept whole."""
+    in which that share of rows failed, stop_streak after one in which so many rows failed in a row by ``order``, runs
+    from the batch before included; the batch itself is kept whole. out/metrics has one row for each batch."""
+    streak = 0  # failures at the end of what was processed so far
 
     def step(batch: DataFrame, n: int) -> None:
-        done = work(batch).persist()
+        nonlocal streak
+        began, done = time.time(), work(batch).persist()
         try:
             done.where("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/ok/batch={n}")
             done.where("error is not null").write.mode("overwrite").parquet(f"{out}/failed/batch={n}")
@@ -33,11 +75,16 @@ def run_batches(source: DataFrame, work: Callable[[DataFrame], DataFrame], out:
                 try:
                     after(done, n)
                 except Exception as e:  # noqa: BLE001 - enrichment must not undo the batch
-                    batch.sparkSession.createDataFrame([(n, str(e)[:200])], "batch long, note string").write.mode("overwrite").parquet(f"{out}/notes/batch={n}")
-            if stop_rate is not None:
-                r = done.agg(F.count("*").alias("n"), F.count("error").alias("bad")).first()
-                if r["n"] and r["bad"] / r["n"] >= stop_rate:
-                    raise StreakStop(f"batch {n}: {r['bad']} of {r['n']} failed")
+                    batch.sparkSession.createDataFrame([(n, str(e))], "batch long, note string").write.mode("overwrite").parquet(f"{out}/notes/batch={n}")
+            r = done.agg(F.count("*").alias("n"), F.count("error").alias("bad")).first()
+            took = time.time() - began
+            batch.sparkSession.createDataFrame([(n, r["n"], r["n"] - r["bad"], r["bad"], took, throughput(r["n"], took))], METRICS).write.mode("overwrite").parquet(f"{out}/metrics/batch={n}")
+            if stop_rate is not None and r["n"] and r["bad"] / r["n"] >= stop_rate:
+                raise StreakStop(f"batch {n}: {r['bad']} of {r['n']} failed")
+            if stop_streak is not None:
+                longest, streak = longest_streak(done, order, streak)
+                if longest >= stop_streak:
+                    raise StreakStop(f"batch {n}: {longest} failures in a row")
         finally:
             done.unpersist()
 
@@ -66,8 +113,10 @@ def progress(spark: SparkSession, todo: DataFrame, out: str, key: str) -> DataFr
     def sink(name: str) -> DataFrame:
         try:
             return spark.read.parquet(f"{out}/{name}").select(key).distinct()
-        except Exception:  # noqa: BLE001 - nothing was written yet
-            return todo.select(key).limit(0)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return todo.select(key).limit(0)  # nothing was written yet
 
     j = todo.select(key).distinct().join(sink("ok").withColumn("o", F.lit(1)), key, "left").join(sink("failed").withColumn("f", F.lit(1)), key, "left")
     return j.agg(F.count("o").alias("done"), F.count_if(F.col("o").isNull() & F.col("f").isNotNull()).alias("failed"), F.count_if(F.col("o").isNull() & F.col("f").isNull()).alias("pending"))

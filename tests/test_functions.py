@@ -52,7 +52,8 @@ def test_first_object():
 def test_small_text_functions(spark):
     assert col(spark, ["A: b: c", "no colon", None], X.error_prefix) == ["A", "no colon", None]
     assert col(spark, ["```json\n{}\n```"], X.without_fence) == ["{}"]
-    assert col(spark, ["Không cần đâu", "yes please", "zzz", "I do not need it", None], X.boolean_cue) == [1, 0, None, 1, None]
+    assert col(spark, ["Không cần đâu", "yes please", "zzz", "I do not need it", None, "Cấm hút thuốc", "tôi từ chối.", "nên đi", "NO", "đúng", "note", "yêu cầu"], X.boolean_cue) == [1, 0, None, None, None, 1, 1, 0, 1, 0, None, 0]
+    assert col(spark, [" Yes ", "Không", "1,50", "1.5", "-3", "05/9/2031", "05-09-2031", "A  b", None], X.normalized_key) == ["true", "false", "1.5", "1.5", "-3", "2031-09-05", "2031-09-05", "a b", None]
     assert col(spark, ["about hotel", " ", "x"], lambda c: X.category_in(c, ["hotel", "loan"], "Khác")) == ["hotel", "Khác", "x"]
     df = spark.createDataFrame([("b", "abc"), ("z", "abc"), ("", "abc"), (None, "abc")], "v string, q string")
     assert [r[0] and tuple(r[0]) for r in df.select(X.span_of(F.col("v"), F.col("q"))).collect()] == [(1, 2), None, None, None]

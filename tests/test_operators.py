@@ -50,6 +50,12 @@ def test_raw_forms(spark):
     got = records.from_chat(df).collect()
     assert [(r["doc_id"], r["query"], [c["name"] for c in r["function_calls"]]) for r in got] == [(1, "hi", ["f", "g"])]
     assert rows(records.negatives_from_chat(df)) == [(3, "x")]
+    own = 'You may call: {"name": "f", "description": "d", "parameters": {"a": {"type": "int"}}}'
+    both = spark.createDataFrame([(1, chat, own), (2, chat, "nothing here"), (3, "USER: x\n\nASSISTANT: y", own), (4, "USER: x\n\nASSISTANT: y", None)], "doc_id long, text string, system string")
+    got = {r["doc_id"]: r for r in records.from_chat(both, system="system").collect()}
+    assert [t["name"] for t in got[1]["tools"]] == ["f", "g"] and got[1]["tools"][0]["parameters"] == '{"properties":{"a":{"type":"integer"}},"required":["a"],"type":"object"}'
+    assert [t["name"] for t in got[2]["tools"]] == ["f", "g"] and got[2]["has_tool_call"] and got[2]["source"] == "glaive"
+    assert [(r["doc_id"], r["tools"][0]["name"]) for r in records.negatives_from_chat(both, system="system").collect()] == [(3, "f")]
     flat = spark.createDataFrame([(7, "q", '[{"name": "f", "arguments": {"a": 1}}, {"name": "Bad", "arguments": {}}]', '[{"name": "f", "description": "d", "parameters": {}}]'), (8, "", "[]", "[]"), (9, "q", "{bad", "[]")], "id int, query string, answers string, tools string")
     got = records.from_flat(flat).collect()
     assert [(r["id"], [tuple(c) for c in r["function_calls"]]) for r in got] == [("xlam_00007", [("f", '{"a": 1}')])] or [r["id"] for r in got] == ["xlam_00007"]
@@ -254,7 +260,6 @@ def test_digests(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "id string")
     import hashlib
 
-    assert reports.sorted_id_hash(df, "id").first()["digest"] == hashlib.sha256(b"a\nb\n").hexdigest()
     other = spark.createDataFrame([("a",), ("b",)], "id string")
     assert reports.id_digest(df, "id").first()["digest"] == reports.id_digest(other, "id").first()["digest"] != reports.id_digest(other.where("id = 'a'"), "id").first()["digest"]
     assert reports.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n|---|---|\n| 1 | - |"
