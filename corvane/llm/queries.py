@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import crosssplit, defects, langid, leaks, lookalikes, nearcopies, packing, sharedspans, splits
+from corvane.llm import textform as T
+from corvane.plans.nested_queries import DECODED
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +61,101 @@ f AS (SELECT doc_id, CAST(min(pos) AS INT) AS start_at, CAST(max(pos) + 400 AS I
 """
 
 
+# ---- the consistent form and its words in SQL, from the same fixed tables ------------------------------------------------
+
+
+def _set(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+def _move(x: str, table: dict[str, str]) -> str:
+    return f"translate({x}, '{''.join(table)}', '{''.join(table.values())}')"
+
+
+def _only(x: str, table: dict[str, str]) -> str:
+    """Whether every character of x is a key of table."""
+    return f"translate({x}, '{''.join(table)}', '') = ''"
+
+
+ODD, LATIN = "\\x{370}-\\x{3ff}\\x{400}-\\x{52f}\\x{1f00}-\\x{1fff}", "A-Za-z\\x{aa}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}\\x{1e00}-\\x{1eff}"
+WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if c - 0xFEE0 != 0x27}
+CLEAN = "nfc_normalize(" + _move(f"regexp_replace(regexp_replace(@TEXT, '[{_set(T.INVISIBLE + T.CONTROL)}]', '', 'g'), '[{_set(T.BLANK)}]', ' ', 'g')", WIDE) + ")"
+TO_CYRILLIC = T.TO_CYRILLIC | T.GREEK_TO_CYRILLIC
+# one word x with its odd letters o, Latin ones l and Greek ones g; s tells a Latin-script sentence
+MAPPED = f"""CASE WHEN o = '' THEN x
+ WHEN {_only('o', T.TO_LATIN)} THEN CASE WHEN l = '' AND (g = '' OR len(g) = len(o)) THEN CASE WHEN s THEN {_move('x', T.TO_LATIN)} ELSE x END
+  WHEN NOT s AND len(g) < len(o) AND {_only('l', T.TO_CYRILLIC)} AND {_only('g', T.GREEK_TO_CYRILLIC)} THEN {_move('x', TO_CYRILLIC)} ELSE {_move('x', T.TO_LATIN)} END
+ WHEN len(g) < len(o) AND (l <> '' OR g <> '') AND {_only('l', T.TO_CYRILLIC)} AND {_only('g', T.GREEK_TO_CYRILLIC)} THEN {_move('x', TO_CYRILLIC)} ELSE x END"""
+
+
+def _words_sql(name: str, rows: str) -> str:
+    """CTEs that end in ``name`` (k, w): the words of each text, in order; rows gives (k, t)."""
+    return f"""{name}_a AS (SELECT k, {CLEAN.replace('@TEXT', 't')} AS t FROM ({rows})),
+{name}_b AS (SELECT k, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?…\n\r]+') AS p FROM {name}_a)),
+{name}_c AS (SELECT k, i, unnest(ws) AS x, generate_subscripts(ws, 1) AS j, regexp_matches(p, '[{LATIN}]') AND {_only(f"regexp_replace(p, '[^{ODD}]', '', 'g')", T.TO_LATIN)} AS s FROM (SELECT k, i, p, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}]+') AS ws FROM {name}_b)),
+{name}_d AS (SELECT k, i, j, x, s, regexp_replace(x, '[^{ODD}]', '', 'g') AS o, regexp_replace(x, '[^{LATIN}]', '', 'g') AS l, regexp_replace(x, '[^\\x{{370}}-\\x{{3ff}}\\x{{1f00}}-\\x{{1fff}}]', '', 'g') AS g FROM {name}_c),
+{name} AS (SELECT k, list(lower(nfc_normalize({MAPPED})) ORDER BY i, j) AS w FROM {name}_d GROUP BY k)"""
+
+
+# p3: equal ids, or similarity and function names; p5: similarity and tool overlap; both by a join over all pairs
+SIMILAR = "len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+FOUND3 = f"""WITH {_words_sql('w', 'SELECT rid AS k, query AS t FROM records WHERE query IS NOT NULL')},
+r AS (SELECT rid, id, CASE WHEN split = 'train' THEN 't' WHEN split IN ('val', 'test') THEN 'e' END AS side, list_distinct(w.w) AS ws, coalesce(list_filter(list_transform(function_calls, lambda c: {NAME.format('c.name')}), lambda n: n <> ''), []) AS calls FROM records LEFT JOIN w ON w.k = rid),
+p AS (SELECT a.rid AS x, b.rid AS y FROM r a JOIN r b ON a.side = 't' AND b.side = 'e' AND a.calls = b.calls AND least(len(a.ws), len(b.ws)) >= 0.75 * greatest(len(a.ws), len(b.ws)) WHERE {SIMILAR.format('a.ws', 'b.ws')} >= 0.75
+ UNION SELECT a.rid, b.rid FROM r a JOIN r b ON a.side = 't' AND b.side = 'e' AND a.id = b.id)
+SELECT least(x, y) AS rid_a, greatest(x, y) AS rid_b FROM p"""
+FOUND5 = f"""WITH {_words_sql('w', 'SELECT rid AS k, query AS t FROM records WHERE query IS NOT NULL')},
+r AS (SELECT rid, list_distinct(w.w) AS ws, list_distinct(list_filter(list_transform(tools, lambda t: {NAME.format('t.name')}), lambda n: n <> '')) AS ts FROM records JOIN w ON w.k = rid),
+e AS (SELECT rid, ws, ts, unnest(ts) AS tool FROM r),
+p AS (SELECT DISTINCT a.rid AS rid_a, b.rid AS rid_b, a.ws AS u, b.ws AS v, a.ts AS t, b.ts AS s FROM e a JOIN e b ON a.tool = b.tool AND a.rid < b.rid AND least(len(a.ws), len(b.ws)) >= 0.75 * greatest(len(a.ws), len(b.ws)))
+SELECT rid_a, rid_b FROM p WHERE {SIMILAR.format('u', 'v')} >= 0.75 AND {SIMILAR.format('t', 's')} >= 0.5"""
+PHRASES = f"""WITH {_words_sql('d', 'SELECT doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL')}, {_words_sql('m', 'SELECT item_id AS k, text AS t FROM eval_items WHERE text IS NOT NULL')},
+dp AS (SELECT k, p - 1 AS pl, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+mp AS (SELECT DISTINCT k, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS p FROM m WHERE len(w) >= 12))
+"""
+# the form of each text (k, t)
+def _form_sql(rows: str) -> str:
+    return f"""q AS (SELECT k, t AS value, {CLEAN.replace('@TEXT', 't')} AS t FROM ({rows})),
+b AS (SELECT k, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?…\n\r]+|[.!?…\n\r]+') AS p FROM q)),
+c AS (SELECT k, i, unnest(ws) AS x, generate_subscripts(ws, 1) AS j, regexp_matches(p, '[{LATIN}]') AND {_only(f"regexp_replace(p, '[^{ODD}]', '', 'g')", T.TO_LATIN)} AS s FROM (SELECT k, i, p, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS ws FROM b)),
+e AS (SELECT k, i, j, x, s, regexp_replace(x, '[^{ODD}]', '', 'g') AS o, regexp_replace(x, '[^{LATIN}]', '', 'g') AS l, regexp_replace(x, '[^\\x{{370}}-\\x{{3ff}}\\x{{1f00}}-\\x{{1fff}}]', '', 'g') AS g FROM c),
+f AS (SELECT k, nfc_normalize(string_agg({MAPPED}, '' ORDER BY i, j)) AS form FROM e GROUP BY k)"""
+
+
+CHANGED = f"""WITH {_form_sql('SELECT rid AS k, query AS t FROM records')}
+SELECT q.k AS rid, q.value AS query, CASE WHEN q.value IS NULL THEN NULL ELSE coalesce(form, '') END AS form, coalesce(q.value <> coalesce(form, ''), false) AS changed FROM q LEFT JOIN f ON f.k = q.k"""
+FIELDS = f"""WITH RECURSIVE a AS (SELECT rid, unnest(function_calls).arguments AS raw FROM records), j AS (SELECT rid, {DECODED.format('raw')} AS j FROM a WHERE raw IS NOT NULL),
+v AS (SELECT rid, 'query' AS field, query AS t FROM records WHERE query IS NOT NULL UNION ALL SELECT rid, 'arguments', n.atom ->> '$' FROM (SELECT * FROM j WHERE j IS NOT NULL), json_tree(j) AS n WHERE n.type = 'VARCHAR'),
+u AS (SELECT t, row_number() OVER () AS k FROM (SELECT DISTINCT t FROM v)), {_form_sql('SELECT k, t FROM u')}
+SELECT DISTINCT rid, field FROM v JOIN u ON u.t = v.t LEFT JOIN f ON f.k = u.k WHERE v.t <> coalesce(form, '')"""
+NEAR3 = FOUND3[: FOUND3.index("\n UNION SELECT")] + ")"
+PAIR_COUNTS = NEAR3 + """,
+n AS (SELECT e.split AS split, e.source AS source, t.source AS source_train, count(DISTINCT y) AS n_records, count(*) AS n_pairs FROM p JOIN records t ON t.rid = x JOIN records e ON e.rid = y GROUP BY 1, 2, 3),
+s AS (SELECT e.split AS split, e.source AS source, t.source AS source_train, count(*) AS n_same_id FROM records t JOIN records e ON t.split = 'train' AND e.split IN ('val', 'test') AND t.id = e.id GROUP BY 1, 2, 3)
+SELECT coalesce(n.split, s.split) AS split, CASE WHEN n.split IS NULL THEN s.source ELSE n.source END AS source, CASE WHEN n.split IS NULL THEN s.source_train ELSE n.source_train END AS source_train, coalesce(n_records, 0) AS n_records, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_same_id, 0) AS n_same_id FROM n FULL JOIN s ON n.split = s.split AND n.source IS NOT DISTINCT FROM s.source AND n.source_train IS NOT DISTINCT FROM s.source_train"""
+GROUPS5 = f"""WITH RECURSIVE {_words_sql('w', 'SELECT rid AS k, query AS t FROM records WHERE query IS NOT NULL')},
+r AS (SELECT rid, list_sort(list_distinct(w.w)) AS ws, list_sort(list_distinct(list_filter(list_transform(tools, lambda t: {NAME.format('t.name')}), lambda n: n <> ''))) AS ts FROM records JOIN w ON w.k = rid),
+k AS (SELECT rid, min(rid) OVER (PARTITION BY ws, ts) AS cid, ws, ts FROM r WHERE len(ws) > 0 AND len(ts) > 0),
+e AS (SELECT DISTINCT cid, ws, ts, unnest(ts) AS tool FROM k),
+p AS (SELECT DISTINCT a.cid AS x, b.cid AS y FROM e a JOIN e b ON a.tool = b.tool AND a.cid < b.cid AND least(len(a.ws), len(b.ws)) >= 0.75 * greatest(len(a.ws), len(b.ws)) WHERE {SIMILAR.format('a.ws', 'b.ws')} >= 0.75 AND {SIMILAR.format('a.ts', 'b.ts')} >= 0.5),
+d AS (SELECT x, y FROM p UNION SELECT y, x FROM p), c AS (SELECT x, y FROM d UNION SELECT c.x, d.y FROM c JOIN d ON c.y = d.x),
+g AS (SELECT x, least(x, min(y)) AS grp FROM c GROUP BY x), n AS (SELECT x, count(*) AS n FROM d GROUP BY x)
+SELECT rid, cid, coalesce(grp, cid) AS grp, coalesce(n, 0) AS n_links FROM k LEFT JOIN g ON g.x = cid LEFT JOIN n ON n.x = cid"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": FIELDS,
+        "p2_queries": CHANGED,
+        "p3_pair_counts": PAIR_COUNTS,
+        "p5_groups": GROUPS5,
+        "p3_found": FOUND3,
+        "p5_found": FOUND5,
+        "p9_found": PHRASES + "SELECT DISTINCT dp.k AS doc_id, mp.k AS item_id FROM dp JOIN mp ON dp.g = mp.g",
+        "p9_spans": PHRASES
+        + """, hit AS (SELECT dp.k AS k, pl, mp.k AS item FROM dp JOIN mp ON dp.g = mp.g), places AS (SELECT DISTINCT k, pl FROM hit),
+n AS (SELECT k, pl, CASE WHEN pl - lag(pl) OVER (PARTITION BY k ORDER BY pl) > 12 THEN 1 ELSE 0 END AS new FROM places), run AS (SELECT k, pl, sum(new) OVER (PARTITION BY k ORDER BY pl ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT hit.k AS doc_id, CAST(min(hit.pl) AS INT) AS start_word, CAST(max(hit.pl) + 12 AS INT) AS end_word, count(DISTINCT item) AS n_items FROM hit JOIN run ON run.k = hit.k AND run.pl = hit.pl GROUP BY hit.k, run.run""",
         "p7_found": GROUPS,
         "p10_found": SHARED + "SELECT doc_id, start_at, end_at FROM f",
         "p10_share": SHARED
