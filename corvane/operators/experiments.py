@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.jsonx import parsed
 from corvane.operators.records import name_key
 from corvane.operators.sampling import quota_sample
 
@@ -65,11 +66,22 @@ def without_unseen(train: DataFrame, unseen: DataFrame, key: str = "rid") -> Dat
 
 
 def statistics(records: DataFrame) -> DataFrame:
-    """One row per source: records, mean query length, distinct tools, mean tools and calls of a record."""
+    """One row per source: records, mean query length, distinct tools, mean tools and calls of a record, mean parameters
+    of a tool (AGG-25)."""
     r = records.select("source", "rid", F.length("query").alias("len"), F.greatest(F.coalesce(F.size("tools"), F.lit(0)), F.lit(0)).alias("nt"), F.greatest(F.coalesce(F.size("function_calls"), F.lit(0)), F.lit(0)).alias("nc"))
     a = r.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("mean_query_length"), F.round(F.avg("nt"), 4).alias("mean_tools"), F.round(F.avg("nc"), 4).alias("mean_calls"))
-    t = records.select("source", F.explode("tools").alias("t")).select("source", name_key(F.col("t.name")).alias("name")).where("name <> ''").distinct().groupBy("source").agg(F.count("*").alias("n_tools"))
-    return a.join(t, "source", "left").fillna(0, ["n_tools"])
+    v = parsed(F.col("t.parameters"))
+    keys = lambda x: F.size(F.json_object_keys(F.to_json(x)))
+    schema = F.try_variant_get(v, "$.type", "string") == "object"
+    n = F.when(schema, keys(F.try_variant_get(v, "$.properties", "variant"))).otherwise(keys(v))
+    t = records.select("source", F.explode("tools").alias("t")).select("source", name_key(F.col("t.name")).alias("name"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("np")).where("name <> ''")
+    t = t.groupBy("source", "name").agg(F.sum("np").alias("np"), F.count("*").alias("k")).groupBy("source").agg(F.count("*").alias("n_tools"), F.round(F.sum("np") / F.sum("k"), 4).alias("mean_parameters"))
+    return a.join(t, a["source"].eqNullSafe(t["source"]), "left").drop(t["source"]).fillna(0, ["n_tools"])
+
+
+def top_categories(rows: DataFrame, category: str = "category", k: int = 20) -> DataFrame:
+    """The k most frequent categories, ties by name (a top-k report)."""
+    return rows.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), category).limit(k)
 
 
 def file_counts(rows: DataFrame) -> DataFrame:

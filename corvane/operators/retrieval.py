@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-QUERY_BLOCK, TERM_BLOCK = 4_096, 256
+QUERY_BLOCK, TERM_BLOCK = 4_096, 1_024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,41 +116,46 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: f
     """(q, d, score, rank): the k documents of highest BM25 score of those that share a term with the query, ties by d;
     queries (q, terms), docs (d, terms).
 
-    A stated query set against all documents, in blocks: document frequencies of the terms of a block are one aggregate
-    (at most the terms of the block); then each batch of documents is one product of its term weights with the block's
-    terms, and only its own k best of each query leave it."""
+    A stated query set against all documents, in blocks. The document frequencies of all query terms are one aggregate
+    over the documents. A block of queries goes along as postings (term, queries, weight); each batch of documents is
+    counted as sparse (document, term) pairs, only those that a query of the block names are multiplied out, and only
+    the k best of each query leave the batch."""
     spark = docs.sparkSession
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg")).first()
+    total, avg = stats["n"], float(stats["avg"] or 1)
+    asked = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
+    df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = asked.join(df, "term").groupBy("q").agg(F.collect_list(F.struct("term", "df")).alias("terms"))  # the terms of one query
     out, block = None, []
 
     def search(block: list) -> None:
         nonlocal out
         vocab: dict[str, int] = {}
-        pairs = [(vocab.setdefault(t, len(vocab)), i) for i, (_, terms) in enumerate(block) for t in set(terms)]
-        words = spark.createDataFrame([(t,) for t in vocab], "term string")
-        df = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(words), "term").groupBy("term").count()
-        idf = np.zeros(len(vocab))
-        for term, n in df.collect():  # one row for each term of the block at most
-            idf[vocab[term]] = np.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
-        w = np.zeros((len(vocab), len(block)))
-        for t, i in pairs:
-            w[t, i] = idf[t]
-        share = spark.sparkContext.broadcast((vocab, w, np.array([q for q, _ in block], np.int64)))
-        avg = float(stats["avg"] or 1)
+        pairs = sorted({(vocab.setdefault(t, len(vocab)), i, n) for i, (_, terms) in enumerate(block) for t, n in terms})
+        term, query, n = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+        first = np.searchsorted(term, np.arange(len(vocab) + 1))  # the postings of term t are first[t] to first[t + 1]
+        share = spark.sparkContext.broadcast((vocab, first, query, np.log(1 + (total - n + 0.5) / (n + 0.5)), np.array([q for q, _ in block], np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocab, w, qid = share.value
+            vocab, first, query, idf, qid = share.value
             for big in batches:
                 for at in range(0, big.num_rows, 500):
                     part = big.slice(at, 500)
-                    ids, lists = part.column("d").to_numpy(zero_copy_only=False), part.column("terms").to_pylist()
-                    tf = np.zeros((len(ids), len(vocab)))
-                    for i, terms in enumerate(lists):
-                        np.add.at(tf[i], [vocab[t] for t in terms if t in vocab], 1.0)
-                    norm = k1 * (1 - b + b * np.array([len(t) for t in lists]) / avg)
-                    score = np.round((tf * (k1 + 1) / (tf + norm[:, None])) @ w, 5)
-                    shared = (tf > 0).astype(np.float32) @ (w > 0).astype(np.float32) > 0
-                    score = np.where(shared, score, -np.inf).T
+                    ids, lists = part.column("d").to_numpy(zero_copy_only=False), part.column("terms")
+                    d = lists.flatten().dictionary_encode()
+                    known = np.array([vocab.get(t, -1) for t in d.dictionary.to_pylist()], np.int64)
+                    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    code = known[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.zeros(0, np.int64)
+                    owner = np.repeat(np.arange(len(ids)), size)
+                    cell, tf = np.unique((owner * max(len(vocab), 1) + code)[code >= 0], return_counts=True)
+                    doc, t = cell // max(len(vocab), 1), cell % max(len(vocab), 1)
+                    w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avg))
+                    width = first[t + 1] - first[t]
+                    post = np.repeat(first[t] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                    place = query[post] * len(ids) + np.repeat(doc, width)
+                    score = np.round(np.bincount(place, np.repeat(w, width) * idf[post], len(qid) * len(ids)), 5).reshape(len(qid), len(ids))
+                    shared = np.bincount(place, minlength=len(qid) * len(ids)).reshape(score.shape) > 0
+                    score = np.where(shared, score, -np.inf)
                     o = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
                     r, c = np.repeat(np.arange(len(qid)), o.shape[1]), o.ravel()
                     ok = np.isfinite(score[r, c])
@@ -160,8 +165,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: f
         part = docs.select("d", "terms").mapInArrow(run, "q long, d long, score double")
         out = part if out is None else out.union(part)
 
-    for r in queries.orderBy("q").toLocalIterator():
-        block.append((r["q"], r["terms"]))
+    for r in weighted.orderBy("q").toLocalIterator():
+        block.append((r["q"], [(x["term"], x["df"]) for x in r["terms"]]))
         if len(block) == TERM_BLOCK:
             search(block)
             block = []

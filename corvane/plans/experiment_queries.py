@@ -9,7 +9,7 @@ from corvane.operators import experiments, pairing, quality
 from corvane.operators.records import name_key
 from corvane.plans.common import Query, on
 from corvane.plans.nested_queries import DECODED
-from corvane.plans.record_queries import PAIRS, SNAKE, _name, _pair_sides
+from corvane.plans.record_queries import PAIRS, SNAKE, _cache, _exploded_tools, _name, _pair_sides
 
 # DuckDB lets a comma before a closing bracket pass, strict JSON does not
 STRICT = "(json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '\"([^\"\\x5c]|\\x5c.)*\"', '0', 'g'), ',\\s*[\\]}}]'))"
@@ -73,6 +73,7 @@ def queries() -> dict[str, Query]:
         "lockstep_check": on("records", "predictions")(lambda r, p: experiments.lockstep(r.where("split = 'test' and id is not null").select("id"), p.where("id is not null").select("id"), "id")),
         "preflight_checks": rec(_preflight),
         "dataset_statistics": rec(experiments.statistics),
+        "top_categories": on("records", "tool_pool")(lambda r, p: experiments.top_categories(pairing.with_category(_exploded_tools(r).select("name"), _cache(p)))),
         "input_file_counts": rec(experiments.file_counts),
         "translation_quality": rec(_quality),
         "merged_translations": rec(lambda r: quality.merged_calls(pairing.pairs(*_pair_sides(r)))),
@@ -105,6 +106,9 @@ e AS (SELECT v.id AS id, list_concat(list_filter([CASE WHEN coalesce(trim(v.quer
 SELECT id, CAST(len(e) AS INT) AS n_errors, array_to_string(e, '; ') AS errors FROM e""",
         "fallback_parse": f"""WITH a AS (SELECT unnest(function_calls).arguments AS a FROM records), s AS (SELECT a, {STRICT.format('a')} AS ok, {STRICT.format("regexp_extract(a, '([{][^$]*[}])', 1)")} AS braces FROM a WHERE a IS NOT NULL)
 SELECT CASE WHEN ok THEN 'strict' WHEN braces AND contains(a, '{{') AND contains(a, '}}') THEN 'braces' ELSE 'failed' END AS step, count(*) AS n FROM s GROUP BY 1""",
-        "dataset_statistics": f"""WITH t AS (SELECT source, count(DISTINCT name) AS n_tools FROM (SELECT source, {_name('x.name')} AS name FROM (SELECT source, unnest(tools) AS x FROM records)) WHERE name <> '' GROUP BY source)
-SELECT r.source AS source, count(*) AS n, round(avg(length(query)), 4) AS mean_query_length, round(avg(coalesce(len(tools), 0)), 4) AS mean_tools, round(avg(coalesce(len(function_calls), 0)), 4) AS mean_calls, coalesce(any_value(n_tools), 0) AS n_tools FROM records r LEFT JOIN t ON r.source = t.source GROUP BY r.source""",
+        "dataset_statistics": f"""WITH e AS (SELECT source, {_name('x.name')} AS name, {DECODED.format('x.parameters')} AS j FROM (SELECT source, unnest(tools) AS x FROM records)),
+t AS (SELECT source, count(DISTINCT name) AS n_tools, round(avg(coalesce(CASE WHEN json_type(j, '$.type') = 'VARCHAR' AND json_extract_string(j, '$.type') = 'object' THEN len(json_keys(j, '$.properties')) WHEN json_type(j) = 'OBJECT' THEN len(json_keys(j)) END, 0)), 4) AS mean_parameters FROM e WHERE name <> '' GROUP BY source)
+SELECT r.source AS source, count(*) AS n, round(avg(length(query)), 4) AS mean_query_length, round(avg(coalesce(len(tools), 0)), 4) AS mean_tools, round(avg(coalesce(len(function_calls), 0)), 4) AS mean_calls, coalesce(any_value(n_tools), 0) AS n_tools, any_value(mean_parameters) AS mean_parameters FROM records r LEFT JOIN t ON r.source IS NOT DISTINCT FROM t.source GROUP BY r.source""",
+        "top_categories": f"""WITH t AS (SELECT {_name('x.name')} AS name FROM (SELECT unnest(tools) AS x FROM records)), c AS (SELECT {_name('name')} AS name, arg_min(feature_group, tool_id) AS category FROM tool_pool WHERE feature_group IS NOT NULL GROUP BY 1)
+SELECT coalesce(category, 'Khác') AS category, count(*) AS n FROM t LEFT JOIN c ON t.name = c.name WHERE t.name <> '' GROUP BY 1 ORDER BY n DESC, category LIMIT 20""",
     }

@@ -137,7 +137,7 @@ def _cache(p: DataFrame) -> DataFrame:
 
 def _enriched(r: DataFrame, p: DataFrame, g: DataFrame) -> DataFrame:
     t = pairing.with_category(_exploded_tools(r).select("rid", "pos", "name"), _cache(p))
-    return t.join(F.broadcast(g.select(F.col("feature_group").alias("category"), "label_en")), "category", "left").select("rid", "pos", "name", "category", F.coalesce("label_en", F.lit("-")).alias("label"))
+    return t.join(pairing.small(g.select(F.col("feature_group").alias("category"), "label_en")), "category", "left").select("rid", "pos", "name", "category", F.coalesce("label_en", F.lit("-")).alias("label"))
 
 
 def _positive(c: str = "function_calls"):

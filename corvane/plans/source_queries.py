@@ -188,6 +188,16 @@ w AS (SELECT tool_id, j, schema, param, v, json_extract_string(v, '$.type') AS t
 x AS (SELECT tool_id, param, {kind} AS type, CASE WHEN {kind} = 'array' THEN CASE WHEN json_type(v, '$.items') = 'OBJECT' THEN json_extract_string(v, '$.items.type') WHEN NOT schema THEN coalesce(nullif({KIND.replace('{0}', "regexp_extract(lower(t), '^list\\[(.+)\\]', 1)")}, ''), 'string') END END AS items,
  CASE WHEN schema THEN coalesce(list_contains(CAST(json_extract(j, '$.required') AS VARCHAR[]), param), false) ELSE json_type(v, '$.default') IS NULL AND NOT coalesce(regexp_matches(t, '(?i),\\s*optional\\s*$'), false) END AS required, coalesce(d, '') AS d, coalesce(e, []) AS e FROM w)
 SELECT tool_id, param, type, items, required, concat('Param=', param, ' Desc=', d, ' Type=', type, CASE WHEN len(e) > 0 THEN ' Enum=' || array_to_string(e, '|') ELSE '' END) AS question FROM x""",
+        "argument_labels": f"""WITH c AS (SELECT rid, query, tools, CAST(generate_subscripts(function_calls, 1) - 1 AS INT) AS pos, unnest(function_calls) AS c FROM records),
+t AS (SELECT rid, query, pos, {DECODED.format('c.arguments')} AS args, list_filter(tools, lambda t: {_name('t.name')} = {_name('c.name')})[1].parameters AS raw FROM c),
+p AS (SELECT rid, query, pos, args, {DECODED.format('raw')} AS j FROM t WHERE raw IS NOT NULL), s AS (SELECT *, coalesce(json_type(j, '$.type') = 'VARCHAR' AND json_extract_string(j, '$.type') = 'object', false) AS schema FROM p WHERE json_type(j) = 'OBJECT'),
+k AS (SELECT *, unnest(json_keys(j, CASE WHEN schema THEN '$.properties' ELSE '$' END)) AS param FROM s),
+v AS (SELECT rid, pos, query, param, json_extract(j, CASE WHEN schema THEN '$.properties."' ELSE '$."' END || param || '"') AS v, CASE WHEN json_type(args) = 'OBJECT' THEN json_extract(args, '$."' || param || '"') END AS a FROM k),
+w AS (SELECT rid, pos, query, param, json_extract_string(v, '$.type') AS t, coalesce(json_extract_string(v, '$.enum[*]'), []) AS e, CASE WHEN json_type(a) = 'NULL' THEN NULL WHEN json_type(a) = 'VARCHAR' THEN a ->> '$' ELSE CAST(a AS VARCHAR) END AS value FROM v),
+x AS (SELECT *, CASE WHEN len(e) > 0 THEN 'enum' ELSE CASE {kind} WHEN 'integer' THEN 'number' ELSE {kind} END END AS kind FROM w)
+SELECT rid, pos, param, kind, value IS NOT NULL AS has_value, CASE WHEN kind IN ('string', 'number') AND strpos(query, value) > 0 AND value <> '' THEN CAST(strpos(query, value) - 1 AS INT) END AS span_start,
+ CASE WHEN kind IN ('string', 'number') AND strpos(query, value) > 0 AND value <> '' THEN CAST(strpos(query, value) - 1 + length(value) AS INT) END AS span_end, CASE WHEN kind = 'enum' THEN CAST(nullif(list_position(e, value), 0) - 1 AS BIGINT) END AS enum_index,
+ CASE WHEN kind = 'boolean' THEN CASE WHEN regexp_matches(query, '{X.cue_pattern(X.NO_CUES)}') THEN 1 WHEN regexp_matches(query, '{X.cue_pattern(X.YES_CUES)}') THEN 0 END END AS bool_label FROM x""",
         "gold_schemas": HAYSTACK
         + f""", o AS (SELECT rid, {_name('t.name')} AS name, min(t.parameters) AS own FROM (SELECT rid, unnest(tools) AS t FROM records) GROUP BY 1, 2), q AS (SELECT {_name('name')} AS name, max(parameters) AS pooled FROM tool_pool GROUP BY 1)
 SELECT n, count(*) AS n_candidates, count(coalesce(own, pooled)) AS n_schemas, CAST(sum(length(coalesce(own, pooled))) AS BIGINT) AS n_chars FROM h LEFT JOIN o ON o.rid = h.rid AND o.name = h.name LEFT JOIN q ON q.name = h.name GROUP BY n""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.operators import retrieval
 from corvane.plans.common import Query, on
+from corvane.plans.record_queries import NFKC
 from corvane.session import cut
 
 
@@ -60,6 +61,17 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _bm25_sql(terms: str, k: int) -> str:
+    return f"""WITH d AS (SELECT doc_id AS d, {terms} AS terms FROM documents WHERE text IS NOT NULL),
+e AS (SELECT * FROM d WHERE len(terms) > 0), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM e),
+q AS (SELECT DISTINCT item_id AS q, unnest({terms}) AS term FROM eval_items),
+p AS (SELECT term, d, len, count(*) AS tf FROM (SELECT d, len(terms) AS len, unnest(terms) AS term FROM e) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+w AS (SELECT p.term AS term, d, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM p JOIN f ON p.term = f.term, s),
+r AS (SELECT q, d, round(sum(w), 5) AS score FROM w JOIN q ON w.term = q.term GROUP BY 1, 2)
+SELECT q, d, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM r) WHERE rank <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "vector_topk": TOP + "SELECT q, q_label, vec_id, label, score, rank FROM t",
@@ -71,12 +83,6 @@ g AS (SELECT unnest(range(0, 101)) AS step), j AS (SELECT g.step AS step, count(
 SELECT round(step / 100, 4) AS threshold, n_kept, round(n_hit / greatest(n_kept, 1), 6) AS precision, round(n_hit / greatest(total, 1), 6) AS recall, round(coalesce(2 * (n_hit / greatest(n_kept, 1)) * (n_hit / greatest(total, 1)) / nullif(n_hit / greatest(n_kept, 1) + n_hit / greatest(total, 1), 0), 0), 6) AS f1 FROM j, n""",
         "gap_selection": TOP + "SELECT q, vec_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY q) AS best FROM t) WHERE best >= 0.35 AND score >= best - 0.21 AND rank <= 3",
         "score_margins": TOP + "SELECT q, max(score) AS best, round(max(score) - min(score), 6) AS margin FROM t WHERE rank <= 2 GROUP BY q",
-        "bm25_candidates": """WITH d AS (SELECT doc_id AS d, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS terms FROM documents WHERE text IS NOT NULL),
-e AS (SELECT * FROM d WHERE len(terms) > 0), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM e),
-q AS (SELECT DISTINCT item_id AS q, unnest(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')) AS term FROM eval_items),
-p AS (SELECT term, d, len, count(*) AS tf FROM (SELECT d, len(terms) AS len, unnest(terms) AS term FROM e) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-w AS (SELECT p.term AS term, d, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM p JOIN f ON p.term = f.term, s),
-r AS (SELECT q, d, round(sum(w), 5) AS score FROM w JOIN q ON w.term = q.term GROUP BY 1, 2)
-SELECT q, d, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM r) WHERE rank <= 5""",
+        "bm25_candidates": _bm25_sql("list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')", 5),
+        "bm25_candidates_words": _bm25_sql(f"regexp_extract_all({NFKC.replace('query', 'text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')", 20),
     }

@@ -37,7 +37,7 @@ def lenient_jsonl(spark: SparkSession, path: str, start: int = 0, end: int | Non
         from pyspark.sql import Window as W
 
         before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        lines = r.join(F.broadcast(per.withColumn("before", before)), ["file", "part"]).select("file", (F.col("before") + F.col("nth") - F.col("first")).alias("line"), "value")
+        lines = r.join(per.withColumn("before", before), ["file", "part"]).select("file", (F.col("before") + F.col("nth") - F.col("first")).alias("line"), "value")
     else:
         lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     v = F.try_parse_json("value")
