@@ -136,6 +136,17 @@ s AS (SELECT cls, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS
         "score_by_language": table,
         "run_gap": "SELECT " + ", ".join(f"round(max({c}) FILTER (WHERE run = 'e4') - max({c}) FILTER (WHERE run = 'e0'), 4) AS {c}_gap" for c in ("tool_pct", "exact_pct", "non_call_pct")) + f" FROM ({_metrics_sql(PARSED, 'run')})",
         "metrics_report": "SELECT run, " + ", ".join(f"coalesce(max(printf('%.2f', exact_pct)) FILTER (WHERE lang = '{x}'), '-') AS {x}" for x in ("en", "vi", "other")) + f" FROM ({table}) GROUP BY run",
+        "argument_errors": "WITH "
+        + PARSED.rstrip()
+        + f""", ga AS (SELECT pred_id, run, coalesce(query, '') AS query, generate_subscripts(gold, 1) AS pos, lower(trim(unnest(gold).name)) AS name, {DECODED.format('unnest(gold).arguments')} AS j FROM predictions),
+sides AS (SELECT 'g' AS side, pred_id, pos, name, j FROM ga UNION ALL SELECT 'o', pred_id, pos, lower(name), args FROM calls),
+nth AS (SELECT *, row_number() OVER (PARTITION BY side, pred_id, name ORDER BY pos) AS nth FROM sides),
+one AS (SELECT side, pred_id, name, nth, e.key AS key, e.type AS type, e.value AS v, CASE WHEN e.type IN ('OBJECT', 'ARRAY') THEN CAST(e.value AS VARCHAR) WHEN e.type = 'NULL' THEN 'null' ELSE e.value ->> '$' END AS txt, row_number() OVER () AS nr FROM (SELECT * FROM nth WHERE json_type(j) = 'OBJECT'), json_each(j) AS e),
+can AS (SELECT nr, string_agg(t.fullkey || '=' || CASE WHEN t.type IN ('OBJECT', 'ARRAY', 'NULL') THEN t.type WHEN t.type IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) ELSE t.type || CAST(t.atom AS VARCHAR) END, chr(31) ORDER BY t.fullkey) AS k FROM one, json_tree(v) AS t GROUP BY nr),
+x AS (SELECT one.*, can.k AS k FROM one JOIN can ON can.nr = one.nr),
+m AS (SELECT g.pred_id AS pred_id, g.key AS key, g.txt AS gt, o.txt AS pt, coalesce(g.k = o.k, false) AS same FROM (SELECT * FROM x WHERE side = 'g') g LEFT JOIN (SELECT * FROM x WHERE side = 'o') o ON g.pred_id = o.pred_id AND g.name IS NOT DISTINCT FROM o.name AND g.nth = o.nth AND g.key = o.key),
+z AS (SELECT p.run AS run, m.key AS key, CASE WHEN same THEN NULL WHEN gt IS NOT DISTINCT FROM pt THEN 'P' WHEN pt IS NULL OR pt = '' THEN 'I' WHEN contains(gt, pt) OR contains(pt, gt) THEN 'P' WHEN NOT contains(coalesce(p.query, ''), gt) THEN 'T' ELSE 'W' END AS cls FROM m JOIN predictions p ON p.pred_id = m.pred_id)
+SELECT run, key, count(*) AS n, count(*) FILTER (WHERE cls IS NULL) AS "right", count(*) FILTER (WHERE cls = 'W') AS wrong, count(*) FILTER (WHERE cls = 'T') AS transformed, count(*) FILTER (WHERE cls = 'P') AS partial, count(*) FILTER (WHERE cls = 'I') AS missing FROM z GROUP BY run, key""",
         "bootstrap_ci": "WITH "
         + PARSED.rstrip()
         + ", "
