@@ -220,7 +220,7 @@ def test_short_refusals(value, found):
         ("Tell Bob: I can't help with this request", "I can't help with this request", set()),
         ("预订飞往巴黎", "预订飞往巴黎", {"copy"}),
         ("Book a table for four people at the restaurant in town", "预订", set()),
-        # wordings that no list was written from
+        # wordings beside those of the tables
         ("Book a room", "We regret that your question could not be processed.", {"refusal"}),
         ("Book a room", "Your request may not be answered by this assistant.", {"refusal"}),
         ("Book a room", "Nous ne pouvons pas traiter votre demande.", {"refusal"}),
